@@ -61,3 +61,14 @@ def two_decimals(value: Column) -> Column:
         F.lit("."),
         F.lpad((cents % 100).cast("string"), 2, "0"),
     )
+
+
+def pin(name: str) -> Column:
+    """Column ``name`` as it is, computed here and not again inside later filters.
+
+    A filter above a projection is normally moved below it by repeating the
+    column's expression. For columns built in many steps that repeats every step
+    over and over. A branch on ``rand`` (never taken, evaluated for nulls only)
+    keeps the filter above; unused columns are still pruned.
+    """
+    return F.coalesce(F.col(name), F.when(F.rand(0) < 0, F.col(name))).alias(name)

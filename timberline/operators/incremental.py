@@ -145,15 +145,22 @@ def carried_reports(merged: DataFrame) -> DataFrame:
     )
 
 
-def carried_snippets(merged: DataFrame, old_evidence: DataFrame, new_evidence: DataFrame, most: int = 8) -> DataFrame:
-    """Old snippets first, then those of the slice, at most ``most`` per incident.
+def carried_snippets(old_evidence: DataFrame, new_evidence: DataFrame, most: int = 8) -> DataFrame:
+    """Old snippets first, then those of the slice in candidate order, at most ``most``
+    per incident.
 
-    ``new_evidence`` carries the incident ids after the merge.
+    ``new_evidence`` carries the incident ids after the merge and the number of
+    the candidate each row came from.
     """
-    both = old_evidence.select("dataset", "incident_id", "rank", "log_id").withColumn("_g", F.lit(0)).unionByName(
-        new_evidence.select("dataset", "incident_id", "rank", "log_id").withColumn("_g", F.lit(1))
-    )
-    order = Window.partitionBy("dataset", "incident_id").orderBy("_g", "rank", "log_id")
+    fields = ("dataset", "incident_id", "rank", "log_id")
+    both = (
+        old_evidence.select(*fields)
+        .withColumn("_g", F.lit(0)).withColumn("_c", F.lit(0).cast("long"))
+        .unionByName(
+            new_evidence.select(*fields, F.lit(1).alias("_g"), F.col("candidate_number").cast("long").alias("_c"))
+        )
+    )
+    order = Window.partitionBy("dataset", "incident_id").orderBy("_g", "_c", "rank")
     return (
         both.withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= most)

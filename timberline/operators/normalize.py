@@ -9,7 +9,7 @@ from timberline.functions import masking as M
 from timberline.functions import parsing as X
 from timberline.functions import patterns as P
 from timberline.functions.dialects import dialect_of
-from timberline.functions.text import half_up, strip
+from timberline.functions.text import half_up, pin, strip
 
 EVENT_COLUMNS = (
     "dataset", "id", "source_id", "source_line", "event_id", "timestamp", "timestamp_epoch", "level",
@@ -56,8 +56,9 @@ def normalize(
     )
     df = with_template(df)
     hot = X.initially_anomalous(F.col("level"))
-    return df.select(
-        "dataset", "id", "source_id", "source_line",
+    given = ("dataset", "id", "source_id", "source_line")
+    df = df.select(
+        *given,
         X.event_identity(F.col("source_id"), F.col("source_line"), F.col("_line")).alias("event_id"),
         "timestamp", "timestamp_epoch", "level", "service", "host", "pid", "message",
         "template_id", "template", "params", "entities", "raw",
@@ -65,6 +66,7 @@ def normalize(
         hot.alias("is_anomaly"),
         "ts_format",
     )
+    return df.select(*given, *[pin(name) for name in df.columns if name not in given])
 
 
 def with_template(df: DataFrame, message: str = "message") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions import scores as S
+from timberline.functions.text import pin
 from timberline.operators.ordering import BLOCK, with_previous
 from timberline.session import cut
 
@@ -171,6 +172,7 @@ def score_stateless(events: DataFrame) -> DataFrame:
     df = df.withColumn(
         "anomaly_score", S.stateless_score(F.col("level"), F.col("_kw"), F.col("anomaly_score"))
     )
-    return df.withColumn(
+    df = df.withColumn(
         "is_anomaly", S.stateless_flag(F.col("anomaly_score"), F.col("level"), F.col("_kw"))
     ).drop("_kw")
+    return df.withColumns({name: pin(name) for name in ("anomaly_score", "is_anomaly")})
