@@ -68,7 +68,8 @@ def pin(name: str) -> Column:
 
     A filter above a projection is normally moved below it by repeating the
     column's expression. For columns built in many steps that repeats every step
-    over and over. A branch on ``rand`` (never taken, evaluated for nulls only)
-    keeps the filter above; unused columns are still pruned.
+    over and over. A test on the partition number (always true, and not known to
+    the optimizer beforehand) keeps the filter above; unused columns are still
+    pruned.
     """
-    return F.coalesce(F.col(name), F.when(F.rand(0) < 0, F.col(name))).alias(name)
+    return F.when(F.spark_partition_id() >= 0, F.col(name)).alias(name)

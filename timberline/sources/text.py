@@ -57,20 +57,22 @@ def scan_text(spark: SparkSession, path: str, dataset: str | None = None) -> Dat
 
 def number_lines(
     scanned: DataFrame, source_id: str | None = None, line_offset: int = 0, start_id: int = 1,
-    max_lines: int | None = None,
+    max_lines: int | None = None, per_file: bool = False,
 ) -> DataFrame:
     """``source_line`` over all lines and dense ``id`` over the non-blank ones, per dataset.
 
     A dataset's files follow each other by name. Rows are ranked inside their
     read split only; splits are put in order through a table of their counts.
-    Blank lines are dropped after they are counted.
+    Blank lines are dropped after they are counted. ``per_file`` starts the line
+    numbers anew in each file and names the file as source; ids run on.
     """
     keys = ["dataset", "file", "block"]
     filled = strip(F.col("line")) != ""
     counts = scanned.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_lines"), F.count_if(filled).alias("_filled")
     )
-    offsets = with_offsets(counts, ["dataset"], ["file", "block"], "_lines", "_before")
+    within = ["dataset", "file"] if per_file else ["dataset"]
+    offsets = with_offsets(counts, within, ["file", "block"], "_lines", "_before")
     offsets = with_offsets(offsets, ["dataset"], ["file", "block"], "_filled", "_filled_before")
     here = Window.partitionBy(*keys).orderBy("offset")
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -82,7 +84,7 @@ def number_lines(
     )
     if max_lines is not None:
         df = df.filter(F.col("_line_no") <= max_lines)
-    name = F.lit(source_id) if source_id is not None else F.col("dataset")
+    name = F.lit(source_id) if source_id is not None else F.col("file" if per_file else "dataset")
     return df.filter(filled).select(
         "dataset", name.alias("source_id"),
         (F.col("_line_no") + line_offset).alias("source_line"),

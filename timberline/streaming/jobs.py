@@ -24,8 +24,8 @@ from timberline.operators.incremental import with_identity
 from timberline.operators.normalize import normalize
 from timberline.operators.scoring import score_core, score_stateless
 from timberline.operators.templates import SIMILARITY, LeafClusters
-from timberline.sources.parquet import save_events, to_stored
-from timberline.sources.text import path_exists
+from timberline.sources.parquet import append_events, save_events, to_stored
+from timberline.sources.text import number_lines, path_exists, valid_text
 
 LINE_SCHEMA = "dataset string, dialect string, source_id string, source_line long, id long, line string"
 
@@ -38,23 +38,37 @@ def read_lines(spark: SparkSession, path: str, files_per_trigger: int | None = N
     return reader.parquet(path)
 
 
-def read_text_lines(spark: SparkSession, path: str, dataset: str, dialect: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of text files. No dense number exists in a stream; the place of a line
-    in its file split identifies it."""
+def start_text_ingest(
+    spark: SparkSession, folder: str, dataset: str, dialect: str, path: str, checkpoint: str,
+    year: int | None = None, files_per_trigger: int | None = None,
+) -> StreamingQuery:
+    """Text files landing in a folder -> stored events.
+
+    A stream has no dense numbers, so each micro-batch numbers its own lines:
+    lines within their file, ids after the highest stored one.
+    """
     reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return (
-        reader.text(path)
-        .select(
-            F.lit(dataset).alias("dataset"), F.lit(dialect).alias("dialect"),
-            F.col("_metadata.file_path").alias("source_id"),
-            F.monotonically_increasing_id().alias("source_line"),
-            F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"),
-        )
-        .filter(F.trim("line") != "")
+    raw = reader.text(folder).select(
+        F.lit(dataset).alias("dataset"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), "value",
     )
 
+    def append(batch: DataFrame, _: int) -> None:
+        last = 0
+        if path_exists(spark, path):
+            stored = spark.read.parquet(path).filter(F.col("dataset") == dataset)
+            last = stored.agg(F.max("id")).first()[0] or 0
+        scanned = batch.select(
+            "dataset", "file", "block", F.monotonically_increasing_id().alias("offset"),
+            valid_text(F.col("value")).alias("line"),
+        )
+        lines = number_lines(scanned, start_id=last + 1, per_file=True)
+        append_events(score_stateless(normalize(lines, F.lit(dialect), year)), path)
+
+    return start_batches(raw, append, checkpoint)
+
 
 def parse_stream(lines: DataFrame, year: int | None = None) -> DataFrame:
     """Parse and score rows on the fly: no state, no shuffle."""
