@@ -77,3 +77,14 @@ def template_id_of(template: Column) -> Column:
 
 def is_mark(token: Column) -> Column:
     return token.startswith("<") & token.endswith(">")
+
+
+def template_steps(message: str = "message") -> list[Column]:
+    """``params, template, template_id`` (one template per masked text)."""
+    return [
+        mask_pieces(F.col(message)).alias("_pieces"),
+        mask_tokens(masked_text(F.col("_pieces"))).alias("_tokens"),
+        template_of(F.col("_tokens")).alias("template"),
+        template_id_of(F.col("template")).alias("template_id"),
+        params_of(F.col("_pieces")).alias("params"),
+    ]

@@ -1,8 +1,9 @@
 """Columns of one log line: redaction, time, level, header, entities, identity.
 
-``with_*`` functions add columns in steps. Each step feeds the next through a
-named column, so an expensive match is evaluated once, and every step stays
-inside code generation.
+``*_steps`` functions return named columns in order, each built from the ones
+before it. They go into one ``select`` (later columns refer to earlier ones by
+name), so the plan is analysed once, an expensive match is evaluated once, and
+everything stays JVM-side. Names that start with an underscore are internal.
 """
 
 from __future__ import annotations
@@ -30,22 +31,27 @@ ENTITY_TYPE = (
 # --------------------------------------------------------------------------- #
 # Redaction and compliance
 # --------------------------------------------------------------------------- #
-def with_redaction(df: DataFrame, source: str, target: str) -> DataFrame:
-    """Four rules in order; a cheap substring test skips lines a rule cannot match."""
+def redaction_steps(source: str, target: str) -> list[Column]:
+    """Four rules in order; a cheap test skips lines a rule cannot match."""
     rules = (
         (P.uni_any_case(P.CREDENTIAL), "$1" + P.CREDENTIAL_MASK, P.CREDENTIAL_WORDS),
         (P.uni_any_case(P.AUTH_HEADER), P.AUTH_HEADER_MASK, P.AUTH_HEADER_WORDS),
         (P.uni(P.EMAIL), P.EMAIL_MASK, ("@",)),
         (P.PRIVATE_KEY, P.PRIVATE_KEY_MASK, ("-----begin ",)),
     )
-    df = df.withColumn(target, F.col(source))
-    for pattern, mask, needles in rules:
-        text = F.col(target)
-        df = df.withColumn(
-            target,
-            F.when(may_hold(text, needles), F.regexp_replace(text, pattern, mask)).otherwise(text),
-        )
-    return df
+    steps, last = [], source
+    for at, (pattern, mask, needles) in enumerate(rules, start=1):
+        text, name = F.col(last), target if at == len(rules) else f"_{target}_{at}"
+        masked = F.when(may_hold(text, needles), F.regexp_replace(text, pattern, mask)).otherwise(text)
+        steps.append(masked.alias(name))
+        last = name
+    return steps
+
+
+def with_steps(df: DataFrame, *steps: Column) -> DataFrame:
+    """``df`` plus the columns of ``steps``, internal ones dropped."""
+    out = df.select("*", *steps)
+    return out.drop(*[name for name in out.columns if name.startswith("_")])
 
 
 def may_hold(text: Column, needles) -> Column:
@@ -125,8 +131,8 @@ def _cut_first(line: Column, pattern: str) -> Column:
     return F.regexp_replace(line, P.uni("(?s)^(.*?)" + pattern + "(.*)$"), "$1$3")
 
 
-def with_timestamp(df: DataFrame, source: str, year: Column, line_id: str = "id") -> DataFrame:
-    """Adds ``ts_format``, ``timestamp``, ``timestamp_epoch``, ``remainder``.
+def timestamp_steps(source: str, year: Column, line_id: str = "id") -> list[Column]:
+    """``ts_format``, ``timestamp``, ``timestamp_epoch``, ``remainder``.
 
     The first format that parses wins. A later format is only looked for on
     lines no earlier one settled.
@@ -139,53 +145,57 @@ def with_timestamp(df: DataFrame, source: str, year: Column, line_id: str = "id"
         ("syslog", P.TS_SYSLOG, lambda found: syslog_text(found, year)),
         ("compact", P.TS_COMPACT, compact_text),
     )
-    df = df.withColumn("_naive", F.lit(None).cast("string")).withColumn("ts_format", F.lit(None).cast("string"))
+    steps, settled = [], None
     for name, pattern, to_text in formats:
-        open_line = F.col("_naive").isNull()
-        df = df.withColumn("_found", F.when(open_line, F.regexp_extract(line, P.uni(pattern), 1)))
-        df = df.withColumn("_text", F.when(F.col("_found") != "", to_text(F.col("_found"))))
-        parses = F.col("_text").try_cast("timestamp").isNotNull()
-        df = df.withColumn("_ok", parses)
-        df = df.withColumn("_naive", F.coalesce("_naive", F.when(F.col("_ok"), F.col("_text"))))
-        df = df.withColumn("ts_format", F.coalesce("ts_format", F.when(F.col("_ok"), F.lit(name))))
-    df = df.withColumn(
-        "_found", F.when(F.col("_naive").isNull(), F.regexp_extract(line, P.uni(P.TS_EPOCH), 1))
-    )
-    df = df.withColumn("_epoch", F.when(F.col("_found") != "", F.col("_found").cast("double")))
-    df = df.withColumn(
-        "ts_format",
-        F.coalesce("ts_format", F.when(F.col("_epoch").isNotNull(), "epoch").otherwise("synthetic")),
-    )
-    df = df.withColumn(
-        "timestamp_epoch",
+        found = F.regexp_extract(line, P.uni(pattern), 1)
+        if settled is not None:
+            found = F.when(F.col(settled).isNull(), found)
+        steps.append(found.alias(f"_{name}_match"))
+        match = F.col(f"_{name}_match")
+        steps.append(F.when(match != "", to_text(match)).alias(f"_{name}_text"))
+        text = F.col(f"_{name}_text")
+        steps.append(F.when(text.try_cast("timestamp").isNotNull(), text).alias(f"_{name}"))
+        if settled is None:
+            settled = f"_{name}"
+        else:
+            steps.append(F.coalesce(settled, f"_{name}").alias(f"_upto_{name}"))
+            settled = f"_upto_{name}"
+    naive = F.col(settled)
+    steps.append(F.when(naive.isNull(), F.regexp_extract(line, P.uni(P.TS_EPOCH), 1)).alias("_epoch_match"))
+    digits = F.col("_epoch_match")
+    steps.append(F.when(digits != "", digits.cast("double")).alias("_epoch"))
+    fmt = F.when(F.col("_iso").isNotNull(), "iso")
+    for name in ("slash", "syslog", "compact", "epoch"):
+        fmt = fmt.when(F.col(f"_{name}").isNotNull(), name)
+    steps.append(fmt.otherwise("synthetic").alias("ts_format"))
+    steps.append(
         F.coalesce(
-            F.unix_timestamp(F.col("_naive").cast("timestamp")).cast("double"),
+            F.unix_timestamp(naive.cast("timestamp")).cast("double"),
             F.col("_epoch"),
             F.lit(P.SYNTHETIC_EPOCH) + F.col(line_id),
-        ),
+        ).alias("timestamp_epoch")
     )
-    df = df.withColumn("timestamp", F.coalesce(F.col("_naive"), utc_text(F.col("timestamp_epoch"))))
+    steps.append(F.coalesce(naive, utc_text(F.col("timestamp_epoch"))).alias("timestamp"))
     fmt = F.col("ts_format")
-    df = df.withColumn(
-        "remainder",
+    steps.append(
         F.when(fmt == "iso", _cut_first(line, P.TS_ISO))
         .when(fmt == "slash", _cut_first(line, P.TS_SLASH))
         .when(fmt == "syslog", _cut_first(line, P.TS_SYSLOG))
         .when(fmt == "compact", _cut_first(line, P.TS_COMPACT))
         .when(fmt == "epoch", _cut_first(line, P.TS_EPOCH))
-        .otherwise(line),
+        .otherwise(line)
+        .alias("remainder")
     )
-    return df.drop("_found", "_text", "_ok", "_naive", "_epoch")
+    return steps
 
 
 # --------------------------------------------------------------------------- #
 # Level
 # --------------------------------------------------------------------------- #
-def with_level(df: DataFrame, source: str = "remainder") -> DataFrame:
-    """Adds ``level``: the first level word anywhere in the text, else INFO."""
+def level_steps(source: str = "remainder") -> list[Column]:
+    """``level``: the first level word anywhere in the text, else INFO."""
     word = F.upper(F.regexp_extract(F.col(source), P.uni_any_case(P.LEVEL), 1))
-    df = df.withColumn("_level_word", word)
-    return df.withColumn("level", lookup(F.col("_level_word"), P.LEVEL_NAMES, "INFO")).drop("_level_word")
+    return [word.alias("_level_word"), lookup(F.col("_level_word"), P.LEVEL_NAMES, "INFO").alias("level")]
 
 
 # --------------------------------------------------------------------------- #
@@ -195,18 +205,18 @@ def _all_digits(token: Column) -> Column:
     return token.rlike(P.uni(r"^\d+$"))
 
 
-def with_header(df: DataFrame, dialect: Column, text: str = "remainder") -> DataFrame:
-    """Adds ``service``, ``host``, ``pid``, ``body`` (message before cleaning)."""
+def header_steps(dialect: Column, text: str = "remainder") -> list[Column]:
+    """``service``, ``_host``, ``pid``, ``_body`` (message before cleaning)."""
     rest = F.col(text)
     at_colon = dialect.isin("hdfs", "syslog", "hadoop", "spark")
     has_colon = rest.contains(":")
     head = F.when(at_colon & has_colon, F.substring_index(rest, ":", 1)).when(
         dialect.isin("openstack", "bgl"), rest
     )
-    df = df.withColumn("_words", words(strip(head)))
-    df = df.withColumn(
-        "_zk", F.when(dialect == "zookeeper", F.regexp_extract(rest, P.uni(P.ZOOKEEPER_HEADER), 1))
-    )
+    steps = [
+        words(strip(head)).alias("_words"),
+        F.when(dialect == "zookeeper", F.regexp_extract(rest, P.uni(P.ZOOKEEPER_HEADER), 1)).alias("_zk"),
+    ]
     tokens, zk = F.col("_words"), F.col("_zk")
     enough = F.size(tokens)
 
@@ -252,21 +262,21 @@ def with_header(df: DataFrame, dialect: Column, text: str = "remainder") -> Data
         )
         .otherwise(rest)
     )
-    return (
-        df.withColumn("service", F.coalesce(service, F.lit("system")))
-        .withColumn("host", F.coalesce(host, F.lit("local")))
-        .withColumn("pid", pid)
-        .withColumn("body", body)
-        .drop("_words", "_zk")
-    )
+    return steps + [
+        F.coalesce(service, F.lit("system")).alias("service"),
+        F.coalesce(host, F.lit("local")).alias("_host"),
+        pid.alias("pid"),
+        body.alias("_body"),
+    ]
 
 
-def with_message(df: DataFrame, body: str = "body", fallback: str = "raw") -> DataFrame:
-    """Adds ``message``: the body without leading marks, or the whole line if none is left."""
-    df = df.withColumn("_clean", strip(F.regexp_replace(strip(F.col(body)), P.uni(P.LEADING_MARKS), "")))
-    return df.withColumn(
-        "message", F.when(F.col("_clean") == "", F.col(fallback)).otherwise(F.col("_clean"))
-    ).drop("_clean")
+def message_steps(body: str = "_body", fallback: str = "raw") -> list[Column]:
+    """``message``: the body without leading marks, or the whole line if none is left."""
+    clean = strip(F.regexp_replace(strip(F.col(body)), P.uni(P.LEADING_MARKS), ""))
+    return [
+        clean.alias("_clean"),
+        F.when(F.col("_clean") == "", F.col(fallback)).otherwise(F.col("_clean")).alias("message"),
+    ]
 
 
 # --------------------------------------------------------------------------- #
@@ -280,8 +290,8 @@ def _first(found: Column) -> Column:
     return F.try_element_at(found, F.lit(1))
 
 
-def with_entities(df: DataFrame, source: str = "raw") -> DataFrame:
-    """Adds the ``entities`` struct; a plain test spares lines the longer patterns.
+def entity_steps(source: str = "raw") -> list[Column]:
+    """The ``entities`` struct; a plain test spares lines the longer patterns.
 
     Blocks are listed only when the line names more than one; addresses are
     distinct in order of appearance; at most three registers are kept.
@@ -295,11 +305,11 @@ def with_entities(df: DataFrame, source: str = "raw") -> DataFrame:
         "_users": (may_hold(text, ("user",)), P.uni_any_case(P.ENT_USER), 1),
         "_regs": (text.contains("0x"), P.uni(P.ENT_REGISTER), 1),
     }
-    df = df.withColumns(
-        {name: F.when(test, _all(text, pattern, group)) for name, (test, pattern, group) in finds.items()}
-    )
-    return df.withColumn(
-        "entities",
+    steps = [
+        F.when(test, _all(text, pattern, group)).alias(name)
+        for name, (test, pattern, group) in finds.items()
+    ]
+    return steps + [
         F.struct(
             _first(F.col("_blocks")).alias("block_id"),
             F.when(F.size("_blocks") > 1, F.array_distinct("_blocks")).alias("all_block_ids"),
@@ -308,8 +318,8 @@ def with_entities(df: DataFrame, source: str = "raw") -> DataFrame:
             F.when(F.size("_ips") > 0, F.array_distinct("_ips")).alias("ips"),
             _first(F.col("_users")).alias("user"),
             F.when(F.size("_regs") > 0, F.slice("_regs", 1, 3)).alias("memory_registers"),
-        ),
-    ).drop(*finds)
+        ).alias("entities")
+    ]
 
 
 # --------------------------------------------------------------------------- #

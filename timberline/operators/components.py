@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from timberline.session import cut
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         "edges",
     )
     mark = None
-    for _ in range(max_rounds):
+    for at in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Larger neighbours of u point to the smallest node around u.
@@ -34,18 +34,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        large = cut(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         # Smaller neighbours of u, and u itself, point to the smallest of them.
         small = large.join(low, "u").select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                               F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")
         ).select("e.u", "e.v").filter(F.col("u") != F.col("v")).distinct()
-        edges = cut(small, "small-star")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
-        if tuple(now) == mark:
+        seen = Observation(f"round-{at}")
+        edges = cut(
+            small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")),
+            "star",
+        )
+        now = (seen.get["n"], seen.get["h"])
+        if now == mark:
             break
-        mark = tuple(now)
+        mark = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -11,13 +11,6 @@ from timberline.functions import patterns as P
 from timberline.functions.dialects import dialect_of
 from timberline.functions.text import half_up, pin, strip
 
-EVENT_COLUMNS = (
-    "dataset", "id", "source_id", "source_line", "event_id", "timestamp", "timestamp_epoch", "level",
-    "service", "host", "pid", "message", "template_id", "template", "params", "entities", "raw",
-    "anomaly_score", "is_anomaly", "ts_format",
-)
-
-
 def syslog_year(dataset: Column, prefix_rule: bool = False) -> Column:
     """Year of syslog lines by dataset name; null means the current year.
 
@@ -43,42 +36,32 @@ def normalize(
     dialect = F.col(dialect) if isinstance(dialect, str) else dialect
     year = syslog_year(F.col("dataset")) if year is None else year
     year = F.lit(year) if isinstance(year, int) else year
-    df = lines.withColumn("_line", strip(F.col("line"))).withColumn("_dialect", dialect)
-    df = X.with_redaction(df, "_line", "raw")
-    df = X.with_timestamp(df, "raw", year)
-    df = X.with_level(df)
-    df = X.with_header(df, F.col("_dialect"))
-    df = X.with_message(df)
-    df = X.with_entities(df)
-    df = df.withColumn(
-        "host",
-        F.when(F.col("host") == "local", F.coalesce("entities.bgl_node", "host")).otherwise(F.col("host")),
-    )
-    df = with_template(df)
-    hot = X.initially_anomalous(F.col("level"))
-    given = ("dataset", "id", "source_id", "source_line")
-    df = df.select(
+    host = F.col("_host")
+    given = [F.col(name) for name in ("dataset", "id", "source_id", "source_line")]
+    df = lines.select(
         *given,
+        strip(F.col("line")).alias("_line"),
+        dialect.alias("_dialect"),
+        *X.redaction_steps("_line", "raw"),
+        *X.timestamp_steps("raw", year),
+        *X.level_steps(),
+        *X.header_steps(F.col("_dialect")),
+        *X.message_steps(),
+        *X.entity_steps(),
+        F.when(host == "local", F.coalesce("entities.bgl_node", host)).otherwise(host).alias("host"),
+        *M.template_steps(),
         X.event_identity(F.col("source_id"), F.col("source_line"), F.col("_line")).alias("event_id"),
-        "timestamp", "timestamp_epoch", "level", "service", "host", "pid", "message",
-        "template_id", "template", "params", "entities", "raw",
-        F.when(hot, F.lit(0.8)).otherwise(F.lit(0.0)).alias("anomaly_score"),
-        hot.alias("is_anomaly"),
-        "ts_format",
+        X.initially_anomalous(F.col("level")).alias("is_anomaly"),
+        F.when(F.col("is_anomaly"), F.lit(0.8)).otherwise(F.lit(0.0)).alias("anomaly_score"),
     )
-    return df.select(*given, *[pin(name) for name in df.columns if name not in given])
+    return df.select(*given, *[pin(name) for name in EVENT_COLUMNS[4:]])
 
 
-def with_template(df: DataFrame, message: str = "message") -> DataFrame:
-    """Adds ``params, template, template_id`` (one template per masked text)."""
-    df = df.withColumn("_pieces", M.mask_pieces(F.col(message)))
-    df = df.withColumn("_tokens", M.mask_tokens(M.masked_text(F.col("_pieces"))))
-    df = df.withColumn("template", M.template_of(F.col("_tokens")))
-    return (
-        df.withColumn("template_id", M.template_id_of(F.col("template")))
-        .withColumn("params", M.params_of(F.col("_pieces")))
-        .drop("_pieces", "_tokens")
-    )
+EVENT_COLUMNS = (
+    "dataset", "id", "source_id", "source_line", "event_id", "timestamp", "timestamp_epoch", "level",
+    "service", "host", "pid", "message", "template_id", "template", "params", "entities", "raw",
+    "anomaly_score", "is_anomaly", "ts_format",
+)
 
 
 def coverage(events: DataFrame) -> DataFrame:

@@ -287,7 +287,7 @@ def grounded_answers(questions: DataFrame, datasets: DataFrame, evidence: DataFr
     if len(ids) > MAX_QUESTIONS:
         raise ValueError(f"ask at most {MAX_QUESTIONS} questions at once")
     asked = datasets.select("dataset").distinct().select(
-        "dataset", F.explode(F.array(*[F.lit(i) for i in ids])).alias("question_id")
+        "dataset", F.explode(F.array(*[F.lit(i).cast("long") for i in ids])).alias("question_id")
     )
     return asked.join(folded, ["dataset", "question_id"], "left").select(
         "dataset", "question_id",

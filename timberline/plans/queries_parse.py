@@ -111,7 +111,7 @@ def detect_and_normalize(t):
 # --------------------------------------------------------------------------- #
 @query("redact", f"SELECT doc_id, md5(r) AS digest, length(r) AS n_chars FROM (SELECT doc_id, {redact_sql('text')} AS r FROM documents)")
 def redact(t):
-    docs = X.with_redaction(t.table("documents"), "text", "r")
+    docs = X.with_steps(t.table("documents"), *X.redaction_steps("text", "r"))
     return docs.select("doc_id", F.md5("r").alias("digest"), F.length("r").cast("long").alias("n_chars"))
 
 
@@ -162,8 +162,8 @@ def ts_fallback(t):
 def ts_resolve(t):
     from timberline.plans.fixture import YEAR
 
-    lines = X.with_redaction(t.lines.withColumn("_line", strip(F.col("line"))), "_line", "raw")
-    return X.with_timestamp(lines, "raw", F.lit(YEAR)).select(
+    steps = [strip(F.col("line")).alias("_line"), *X.redaction_steps("_line", "raw"), *X.timestamp_steps("raw", F.lit(YEAR))]
+    return X.with_steps(t.lines, *steps).select(
         "dataset", "id", "ts_format", "timestamp_epoch", "remainder"
     )
 

@@ -51,7 +51,7 @@ def log_search(t):
 SELECT dataset, id, message, (SELECT count(*) FROM scored WHERE is_anomaly) AS total FROM scored WHERE is_anomaly ORDER BY dataset, id LIMIT 50 OFFSET 100""", "scored"))
 def log_page(t):
     total, page = RP.log_page(RP.anomalies_only(t.scored), offset=100, limit=50)
-    return page.select("dataset", "id", "message", F.lit(total.first()["total"]).alias("total"))
+    return page.select("dataset", "id", "message", F.lit(total.first()["total"]).cast("long").alias("total"))
 
 
 @query("level_breakdown", chain("SELECT dataset, level, count(*) AS n FROM parsed GROUP BY 1, 2", "parsed"))
