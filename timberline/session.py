@@ -13,6 +13,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture costs more than building the long parsing plan itself.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
