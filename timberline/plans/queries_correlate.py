@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from timberline.functions import scores as S
 from timberline.operators import components as K
 from timberline.operators import correlate as C
 from timberline.operators import forest as FO
@@ -273,9 +272,10 @@ def events_union(t):
     return I.events_union(t.slice(False), t.slice(True)).select("dataset", "id", "event_id")
 
 
-@query("incident_merge", chain("SELECT dataset, candidate, candidate_number, match FROM matches", "matches"))
+@query("incident_merge", chain("SELECT dataset, candidate, candidate_number, match::VARCHAR AS match FROM matches", "matches"))
 def incident_merge(t):
-    return I.match_incidents(t.first_slice.members, t.second_slice.members)
+    matches = I.match_incidents(t.first_slice.members, t.second_slice.members)
+    return matches.withColumn("match", F.col("match").cast("string"))
 
 
 @query("incident_carryover", chain("""

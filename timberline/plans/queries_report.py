@@ -8,7 +8,7 @@ from timberline.operators import reports as RP
 from timberline.operators import scoring as SC
 from timberline.operators.normalize import dialect_vote
 from timberline.plans.oracle_base import chain, half_up, q
-from timberline.plans.queries_correlate import NARRATIVE, six, six_sql
+from timberline.plans.queries_correlate import NARRATIVE, six
 from timberline.plans.queries_parse import _BEST, _VOTES, _WIN, DIALECT_SQL
 from timberline.plans.registry import query
 
