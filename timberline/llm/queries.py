@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, token_counts
+from timberline.llm import bpe, token_counts, token_files
 from timberline.llm.common import table
+from timberline.session import new_path
 
 TOKEN_LIMIT = 1024
 
@@ -24,11 +25,19 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_columns(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    docs = table(spark, sf_dir, "documents")
+    token_files.write_ids(token_files.encode_in_order(docs, public_tokenizers.path("byte_bpe_50k.json")), path)
+    stored = token_files.read_ids(spark, path, docs.schema["doc_id"].dataType.simpleString())
+    return stored.select("doc_id", "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens",
                           (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
+QUERIES = {"op3_token_files": op3_token_files, "op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
 SQL: dict[str, str] = {}
