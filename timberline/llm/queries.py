@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, token_counts, token_files
+from timberline.llm import bpe, mixing, sql, token_counts, token_files
 from timberline.llm.common import table
 from timberline.session import new_path
 
@@ -33,11 +33,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    return planned.select("doc.doc_id", "size", "source_size", "target",
+                          (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens",
                           (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-QUERIES = {"op3_token_files": op3_token_files, "op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
-SQL: dict[str, str] = {}
+QUERIES = {"op8_mix_sources": op8_mix_sources, "op3_token_files": op3_token_files, "op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
+SQL: dict[str, str] = {"op8_mix_sources": sql.OP8}
