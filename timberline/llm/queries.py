@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, mixing, sql, token_counts, token_files
+from timberline.llm import bpe, mixing, quality, sql, token_counts, token_files
 from timberline.llm.common import table
 from timberline.session import new_path
 
@@ -33,6 +33,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.assess(docs, model).select("doc.doc_id", "q.*")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return planned.select("doc.doc_id", "size", "source_size", "target",
@@ -45,5 +51,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-QUERIES = {"op8_mix_sources": op8_mix_sources, "op3_token_files": op3_token_files, "op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
+QUERIES = {"op7_quality_rules": op7_quality_rules, "op8_mix_sources": op8_mix_sources, "op3_token_files": op3_token_files, "op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
 SQL: dict[str, str] = {"op8_mix_sources": sql.OP8}
