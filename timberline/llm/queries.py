@@ -6,13 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, mixing, quality, sql, token_counts, token_files
+from timberline.llm import bpe, mixing, quality, secrets, sql, token_counts, token_files
 from timberline.llm.common import table
 from timberline.session import new_path
 
 TOKEN_LIMIT = 1024
 
 
+def op1_columns(scanned: DataFrame) -> DataFrame:
+    return scanned.select(F.col("id").alias("doc_id"), "s.n_assign", "s.n_access", "s.n_hex",
+                          F.sha2(F.col("s.base").cast("binary"), 256).alias("base_sha256"), "s.spans")
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op1_columns(secrets.scan(docs, secrets.fit(docs)))
+
+
 def op2_columns(decoded: DataFrame) -> DataFrame:
     return decoded.select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
@@ -51,5 +61,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules, "op8_mix_sources": op8_mix_sources, "op3_token_files": op3_token_files, "op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op7_quality_rules": op7_quality_rules, "op8_mix_sources": op8_mix_sources, "op3_token_files": op3_token_files, "op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
 SQL: dict[str, str] = {"op8_mix_sources": sql.OP8}
