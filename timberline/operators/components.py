@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.session import cut
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(node, root)``, root the smallest node reached.
 
     Every round links nodes to the smallest neighbour (larger neighbours first,
     then smaller ones), which ends in stars after O(log^2 n) rounds. A node's
     neighbours are only ever aggregated with ``min``; no adjacency list is
     collected, so a hub costs partial aggregates and a skew-split join. Each
-    round is written out, which cuts lineage and survives lost executors.
+    round is written out, which cuts lineage and survives lost executors; the
+    loop ends when the written edges of two rounds are the same rows. This runs
+    jobs while the plan is made.
     """
     edges = cut(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -23,8 +25,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    mark = None
-    for at in range(max_rounds):
+    size = edges.count()
+    while size:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Larger neighbours of u point to the smallest node around u.
@@ -40,16 +42,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                               F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")
         ).select("e.u", "e.v").filter(F.col("u") != F.col("v")).distinct()
-        seen = Observation(f"round-{at}")
-        edges = cut(
-            small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")),
-            "star",
-        )
-        now = (seen.get["n"], seen.get["h"])
-        if now == mark:
+        before, edges = edges, cut(small, "star")
+        was, size = size, edges.count()
+        if size == was and edges.join(before, ["u", "v"], "left_anti").isEmpty():
             break
-        mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
