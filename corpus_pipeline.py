@@ -15,7 +15,7 @@ from timberline.session import cut
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, and the check that they decode to its text."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return op2_columns(bpe.decode(bpe.encode(docs, ranks), ranks))
+    return op2_columns(bpe.encode(docs, ranks, decoded=True))
 
 
 STAGES = [("encode", encode)]

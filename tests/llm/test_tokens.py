@@ -82,6 +82,8 @@ def test_encode_over_segments_round_trip(spark, frame, ranks):
         got = bpe.decode(bpe.encode(frame, RANKS, segment_chars=size), RANKS).collect()
         want = by_row([(a, ranks.encode_ordinary(b or ""), (b or "").encode()) for a, b in CASES])
         assert by_row([(r.id, r.ids, bytes(r.decoded)) for r in got]) == want
+        got = bpe.encode(frame, RANKS, segment_chars=size, decoded=True).collect()
+        assert by_row([(r.id, r.ids, bytes(r.decoded)) for r in got]) == want
     assert bpe.encode(frame.limit(0), RANKS).count() == 0
 
 

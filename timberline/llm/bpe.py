@@ -42,7 +42,7 @@ class TokenTree:
         self.encoding = X.rank_encoding(path)
         self.base = self.encoding._encode_single_piece
         self.bytes_of = self.encoding.decode_single_token_bytes
-        self.fits = functools.lru_cache(1 << 17)(self._fits)
+        self.fits = functools.lru_cache(1 << 15)(self._fits)
 
     def _fits(self, a: int, b: int) -> bool:
         return self.base(self.bytes_of(a) + self.bytes_of(b)) == [a, b]
@@ -148,9 +148,11 @@ def encode_batch(texts: list[str], cache: X.PieceIds, leaf: int = LEAF_CHARS):
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-           segment_chars: int = 1 << 16) -> DataFrame:
+           segment_chars: int = 1 << 16, decoded: bool = False) -> DataFrame:
     """``(id, ids array<int>)`` per row: what tiktoken gives for the rank file at ``path``, no special tokens.
 
+    With ``decoded`` the ids are decoded in the same pass and ``decoded`` (binary) is added.
+
     A null or empty text has an empty array; null ids and repeated rows stay,
     one result each; other columns are ignored, whatever their names; an empty
     table gives an empty result.
@@ -159,14 +161,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = base.schema["id"].dataType.simpleString()
 
     def short(batches):
-        cache = rank_cache(path)
+        cache, decoder = rank_cache(path), Decoder(path) if decoded else None
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for low, high in _runs(texts):
                 _, _, ids = encode_batch(texts[low:high], cache)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), _lists(ids)], ["id", "ids"])
+                columns = {"id": batch.column("id").slice(low, high - low), "ids": _lists(ids)}
+                if decoder:
+                    columns["decoded"] = pa.array([decoder.text(own.tolist()) for own in ids], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
 
-    out = base.filter(F.length("text") <= segment_chars).mapInArrow(short, f"id {kind}, ids array<int>")
+    schema = f"id {kind}, ids array<int>" + ", decoded binary" * decoded
+    out = base.filter(F.length("text") <= segment_chars).mapInArrow(short, schema)
     long = base.filter(F.length("text") > segment_chars).select(F.monotonically_increasing_id().alias("key"), "*")
     longest = long.agg(F.max(F.length("text"))).first()[0]
     if longest is None:
@@ -175,7 +181,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     for _ in range((-(-longest // segment_chars) - 1).bit_length()):
         pair = tree.groupBy("key", F.expr("at div 2").cast("int").alias("pair"))
         tree = pair.applyInArrow(_joiner(path), tree.schema)
-    return out.unionByName(tree.select("id", "ids"))
+    tree = tree.select("id", "ids")
+    return out.unionByName(decode(tree, path) if decoded else tree)
 
 
 def _runs(texts: list[str], most: int = X.SLICE):
@@ -247,25 +254,34 @@ def _joiner(path: str):
     return run
 
 
-def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """Adds ``decoded`` (binary) to the rows; a null array decodes to no bytes. An existing ``decoded`` is replaced."""
-    keep = [c for c in encoded.columns if c != "decoded"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*keep).schema), "decoded binary"])
+@functools.cache
+def _bytes_of_ids(path: str) -> list[bytes]:
+    encoding = X.rank_encoding(path)
+    table = [b""] * encoding.n_vocab
+    for token in encoding.token_byte_values():
+        table[encoding.encode_single_token(token)] = token
+    return table
 
-    def run(batches):
-        bytes_of = X.rank_encoding(path).decode_single_token_bytes
-        table: dict[int, bytes] = {}
 
-        def text(ids, leaf: int = 1 << 16) -> bytes:
-            if len(ids) > leaf:
-                half = len(ids) // 2
-                return text(ids[:half]) + text(ids[half:])
-            for token in set(ids) - table.keys():
-                table[token] = bytes_of(token)
-            return b"".join(map(table.__getitem__, ids))
+class Decoder:
+    """Bytes of ids, concatenated up a tree of halves."""
 
-        for batch in batches:
-            out = [text(ids) if ids else b"" for ids in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*keep, "decoded"])
+    def __init__(self, path: str, leaf: int = 1 << 16):
+        self.table, self.leaf = _bytes_of_ids(path), leaf
+
+    def text(self, ids: list[int]) -> bytes:
+        if len(ids) > self.leaf:
+            half = len(ids) // 2
+            return self.text(ids[:half]) + self.text(ids[half:])
+        return b"".join(map(self.table.__getitem__, ids))
+
+
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """Adds ``decoded`` (binary) to the rows; a null array decodes to no bytes. An existing ``decoded`` is replaced."""
+
+    def run(ids: pa.Array) -> pa.Array:
+        decoder = Decoder(path)
+        return pa.array([decoder.text(own) if own else b"" for own in ids.to_pylist()], pa.binary())
 
-    return encoded.select(*keep).mapInArrow(run, schema)
+    run.__annotations__ = {"ids": pa.Array, "return": pa.Array}
+    return encoded.withColumn("decoded", F.arrow_udf(run, "binary")(F.col(ids_col)))

@@ -20,7 +20,7 @@ import functools
 import numpy as np
 
 MARGIN = 32
-SLICE = 1 << 20
+SLICE = 1 << 19
 OTHER, LETTER, NUMBER, SPACE, WALL, SPECIAL = range(6)
 _ODD = 0x9E3779B97F4A7C15
 _M = (1 << 64) - 1
@@ -118,7 +118,7 @@ class Pieces:
 
     def hashes(self) -> np.ndarray:
         """One 64-bit value per distinct piece."""
-        up, down = _powers(max(21, len(self.codes).bit_length()))
+        up, down = _powers(max(20, len(self.codes).bit_length()))
         total = np.cumsum(_char_values()[self.codes] * up[: len(self.codes)], dtype=np.uint64)
         before = np.where(self.start > 0, total[self.start - 1], np.uint64(0))
         value = (total[self.end - 1] - before) * down[self.start]
@@ -132,7 +132,7 @@ class Pieces:
 class PieceIds:
     """Ids of pieces, each distinct one encoded once; emptied when it holds more than ``most`` pieces."""
 
-    def __init__(self, encode, most: int = 1_000_000):
+    def __init__(self, encode, most: int = 500_000):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -159,11 +159,10 @@ class PieceIds:
             flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(n.sum()))
             begin = len(self.flat) + np.cumsum(n) - n
             self.flat = np.concatenate([self.flat, flat])
-            key = np.concatenate([self.key, value[new]])
-            order = np.argsort(key, kind="stable")
-            self.key = key[order]
-            self.at = np.concatenate([self.at, begin])[order]
-            self.n = np.concatenate([self.n, n])[order]
+            place = at[new]
+            self.key = np.insert(self.key, place, value[new])
+            self.at = np.insert(self.at, place, begin)
+            self.n = np.insert(self.n, place, n)
             at = np.searchsorted(self.key, value)
         return self.at[at][back], self.n[at][back]
 

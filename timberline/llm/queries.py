@@ -32,7 +32,7 @@ def op2_columns(decoded: DataFrame) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return op2_columns(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks), ranks))
+    return op2_columns(bpe.encode(table(spark, sf_dir, "documents"), ranks, decoded=True))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
