@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, minhash, mixing, quality, secrets, sql, token_counts, token_files
+from timberline.llm import bpe, minhash, mixing, quality, secrets, sql, token_counts, token_files, vectors
 from timberline.llm.common import table
 from timberline.session import new_path
 
@@ -43,6 +43,15 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_columns(found: DataFrame) -> DataFrame:
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id",
+                        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_columns(vectors.near_vectors(table(spark, sf_dir, "embeddings")))
+
+
 def op6_columns(found: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id",
                         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -70,5 +79,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-QUERIES = {"op6_near_duplicates": op6_near_duplicates, "op1_secret_scan": op1_secret_scan, "op7_quality_rules": op7_quality_rules, "op8_mix_sources": op8_mix_sources, "op3_token_files": op3_token_files, "op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
+QUERIES = {"op5_near_vectors": op5_near_vectors, "op6_near_duplicates": op6_near_duplicates, "op1_secret_scan": op1_secret_scan, "op7_quality_rules": op7_quality_rules, "op8_mix_sources": op8_mix_sources, "op3_token_files": op3_token_files, "op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
 SQL: dict[str, str] = {"op8_mix_sources": sql.OP8}
