@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, minhash, mixing, quality, secrets, sql, token_counts, token_files, vectors
+from timberline.llm import bpe, minhash, mixing, privacy, quality, secrets, sql, token_counts, token_files, vectors
 from timberline.llm.common import table
 from timberline.session import new_path
 
 TOKEN_LIMIT = 1024
+#: Of the registered query only; real use gives its own secret.
+SURROGATE_KEY = "timberline-demo-key"
 
 
 def op1_columns(scanned: DataFrame) -> DataFrame:
@@ -79,5 +81,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-QUERIES = {"op5_near_vectors": op5_near_vectors, "op6_near_duplicates": op6_near_duplicates, "op1_secret_scan": op1_secret_scan, "op7_quality_rules": op7_quality_rules, "op8_mix_sources": op8_mix_sources, "op3_token_files": op3_token_files, "op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.pseudonymize(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    kinds = ("email", "phone", "ip", "card", "ssn", "name")
+    return found.select("doc.doc_id", "text", *(F.coalesce(F.try_element_at("n", F.lit(k)), F.lit(0)).alias(f"n_{k}") for k in kinds))
+
+
+QUERIES = {"op10_surrogates": op10_surrogates, "op5_near_vectors": op5_near_vectors, "op6_near_duplicates": op6_near_duplicates, "op1_secret_scan": op1_secret_scan, "op7_quality_rules": op7_quality_rules, "op8_mix_sources": op8_mix_sources, "op3_token_files": op3_token_files, "op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
 SQL: dict[str, str] = {"op8_mix_sources": sql.OP8}
