@@ -7,12 +7,8 @@ sketches agree with the probability of the sets' similarity, concentrated as if
 drawn independently, in O(size log size + set) steps.
 
 Texts with equal sets are one node from the start, so copies cost one row each.
-Nodes that share a band are candidates and are settled in two steps, both exact
-on full sets: first every member of a bucket against the bucket's first member;
-then, in buckets whose members still lie in different components, all others,
-inside tasks that hold at most two blocks of ``BLOCK`` members, walk rare
-shingles first and put out links only, never pairs. Pairs already in one
-component need no check. No candidate is left out.
+Nodes that share a band are candidates, settled on full sets as ``linking``
+says; inside a task rare shingles come first. No candidate is left out.
 """
 
 from __future__ import annotations
@@ -24,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.common import text_of
+from timberline.llm.linking import Roots, bucket_links
 from timberline.llm.words import WordHashes, mixed, shingles
 from timberline.operators.components import connected_components
 from timberline.session import cut
@@ -75,30 +72,20 @@ def links(sets: list[np.ndarray], root: list[int], left: list[bool], percent: in
     A pair counts if one is ``left`` and the other not, or if all are. Rare shingles come first: similar sets
     share one of the first n - ceil(percent / 100 * n) + 1.
     """
-    parent = {r: r for r in root}
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    every = np.concatenate(sets)
-    _, code, times = np.unique(every, return_inverse=True, return_counts=True)
+    roots = Roots(root)
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.argsort(np.argsort(times, kind="stable"))
-    codes = np.split(code, np.cumsum([len(s) for s in sets])[:-1])
     alone = all(left)
     index: dict[int, list[int]] = {}
     out = []
-    for x, own in enumerate(codes):
+    for x, own in enumerate(np.split(code, np.cumsum([len(s) for s in sets])[:-1])):
         n = len(own)
         first = own[np.argsort(rank[own])][: n - -(-percent * n // 100) + 1]
         keys = first[times[first] > 1].tolist()
-        near = {y for key in keys for y in index.get(key, ())}
-        for y in sorted(near):
-            if (alone or left[x] != left[y]) and find(root[x]) != find(root[y]) and similar(sets[x], sets[y], percent):
+        for y in sorted({y for key in keys for y in index.get(key, ())}):
+            if (alone or left[x] != left[y]) and roots.find(x) != roots.find(y) and similar(sets[x], sets[y], percent):
                 out.append((x, y))
-                parent[find(root[x])] = find(root[y])
+                roots.join(x, y)
         for key in keys:
             index.setdefault(key, []).append(x)
     return out
@@ -149,56 +136,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _linked(nodes: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between nodes, enough to connect all that are similar: ``(a, b)``."""
-    spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = cut(spread.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    members = cut(spread.join(buckets, "bucket").filter("node <> head"), "members")
-    pairs = cut(members.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = wanted.join(nodes, "node").select("node", F.col("rep.text_md5").alias("md5"), F.col("rep.id").alias("rep_id"))
-    texts = base.join(wanted, (base["text_md5"] == wanted["md5"]) & base["id"].eqNullSafe(wanted["rep_id"]))
-    texts = texts.select("node", "text").dropDuplicates(["node"])
 
     def full(batches):
         hashes = WordHashes()
         for batch in batches:
             packed = [shingles(t, width, hashes).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "body"])
 
-    sets = cut(texts.mapInArrow(full, "node long, members binary"), "sets")
+    def sets(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.join(nodes, "node").select("node", F.col("rep.text_md5").alias("md5"), F.col("rep.id").alias("rep_id"))
+        texts = base.join(wanted, (base["text_md5"] == wanted["md5"]) & base["id"].eqNullSafe(wanted["rep_id"]))
+        return texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(full, "node long, body binary")
 
-    def check(batches):
-        for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("set_a", "set_b"))
-            fits = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
-
-    one = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
-    edges = cut(pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"), "links")
-
-    roots = connected_components(edges).withColumnRenamed("node", "of")
-    rooted = members.join(roots, members["node"] == roots["of"], "left").select(
-        "bucket", "node", F.coalesce("root", "node").alias("root"))
-    # The head has been compared with everyone; others of different components have not.
-    rooted = cut(rooted, "rooted")
-    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m"))
-    open_ = open_.filter("low <> high").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.hash("node"), F.col("blocks"))
-    tasks = rooted.join(open_, "bucket").select("bucket", "node", "root", block.alias("own"),
-                                                F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "bucket", "node", "root", "own")
-    rows = tasks.join(sets, "node")
-
-    def settle(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        node, root, own, i, packed = (table.column(c).to_pylist() for c in ("node", "root", "own", "i", "members"))
-        j = table.column("j")[0].as_py()
-        found = links([np.frombuffer(x, np.uint64) for x in packed], root,
-                      [True] * len(node) if i[0] == j else [o == i[0] for o in own], percent)
-        return pa.table({"a": pa.array([node[x] for x, _ in found], pa.int64()), "b": pa.array([node[y] for _, y in found], pa.int64())})
-
-    more = cut(rows.groupBy("bucket", "i", "j").applyInArrow(settle, "a long, b long"), "links")
-    return edges.unionByName(more)
+    def unpacked(body: bytes) -> np.ndarray:
+        return np.frombuffer(body, np.uint64)
+
+    return bucket_links(nodes.select("node", F.explode("bands").alias("bucket")), sets,
+                        lambda a, b: similar(unpacked(a), unpacked(b), percent),
+                        lambda bodies, root, left: links([unpacked(b) for b in bodies], root, left, percent), BLOCK)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, minhash, mixing, privacy, quality, secrets, sql, token_counts, token_files, vectors
+from timberline.llm import bpe, lines, minhash, mixing, privacy, quality, secrets, sql, token_counts, token_files, vectors
 from timberline.llm.common import table
 from timberline.session import new_path
 
@@ -45,6 +45,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_columns(found: DataFrame) -> DataFrame:
+    return found.select("doc.doc_id", "n_lines", "n_dropped", "text")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_columns(lines.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op5_columns(found: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id",
                         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -87,5 +95,5 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "text", *(F.coalesce(F.try_element_at("n", F.lit(k)), F.lit(0)).alias(f"n_{k}") for k in kinds))
 
 
-QUERIES = {"op10_surrogates": op10_surrogates, "op5_near_vectors": op5_near_vectors, "op6_near_duplicates": op6_near_duplicates, "op1_secret_scan": op1_secret_scan, "op7_quality_rules": op7_quality_rules, "op8_mix_sources": op8_mix_sources, "op3_token_files": op3_token_files, "op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op10_surrogates": op10_surrogates, "op5_near_vectors": op5_near_vectors, "op6_near_duplicates": op6_near_duplicates, "op1_secret_scan": op1_secret_scan, "op7_quality_rules": op7_quality_rules, "op8_mix_sources": op8_mix_sources, "op3_token_files": op3_token_files, "op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
 SQL: dict[str, str] = {"op8_mix_sources": sql.OP8}
