@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from timberline.functions import patterns as P
 from timberline.functions.text import half_up
@@ -14,11 +13,8 @@ from timberline.operators.ordering import BLOCK, number_densely
 from timberline.session import cut
 
 CHUNK = 5
-LARGE = 10000
-MAX_PASSAGES = 5000
-VOCABULARY = 2048
 LEAST_SCORE = 0.01
-MAX_QUESTIONS = 256
+SLICES = 64
 
 
 def ordered_events(events: DataFrame, width: int = BLOCK) -> DataFrame:
@@ -28,12 +24,6 @@ def ordered_events(events: DataFrame, width: int = BLOCK) -> DataFrame:
     return df.join(totals, "dataset")
 
 
-def passage_step(total: Column, size: int = CHUNK) -> Column:
-    return F.when(total < LARGE, F.lit(max(1, size // 2))).otherwise(
-        F.greatest(F.lit(size), F.floor(total / 2000).cast("int"))
-    )
-
-
 def _fold(spread: DataFrame) -> DataFrame:
     """Rows tagged with a window ``start`` -> one row per window.
     A window holds a handful of rows, so the fold is bounded."""
@@ -49,45 +39,28 @@ def _fold(spread: DataFrame) -> DataFrame:
     )
 
 
-def passages(ordered: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Sliding windows of ``size`` rows; windows start at every multiple of the step."""
-    step = passage_step(F.col("total"), size)
-    low = F.greatest(F.lit(0), F.ceil((F.col("pos") - (size - 1)) / F.col("_step"))).cast("long")
-    high = F.floor(F.col("pos") / F.col("_step")).cast("long")
-    df = ordered.withColumn("_step", step).withColumn("_low", low).withColumn("_high", high)
-    starts = F.transform(F.sequence("_low", "_high"), lambda k: k * F.col("_step"))
-    df = df.filter(F.col("_low") <= F.col("_high"))
-    return _fold(df.withColumn("start", F.explode(starts)))
+def passages(ordered: DataFrame, size: int = CHUNK, step: int | None = None) -> DataFrame:
+    """Sliding windows of ``size`` rows; windows start at every multiple of the step, half a window by default.
 
+    The step does not depend on the dataset's size, so every row is in a passage.
+    """
+    step = step or max(1, size // 2)
+    low = F.greatest(F.lit(0), F.ceil((F.col("pos") - (size - 1)) / step)).cast("long")
+    high = F.floor(F.col("pos") / step).cast("long")
+    df = ordered.withColumn("_low", low).withColumn("_high", high).filter(F.col("_low") <= F.col("_high"))
+    return _fold(df.withColumn("start", F.explode(F.transform(F.sequence("_low", "_high"), lambda k: k * step))))
 
-def anomalous_passages(ordered: DataFrame, base: DataFrame, size: int = CHUNK, most: int = MAX_PASSAGES) -> DataFrame:
-    """Extra windows of large datasets around anomalous rows no base window starts at.
 
-    Row positions are compared with the start *ids* of the base windows. The
-    windows are taken in row order until the dataset has ``most`` passages.
-    """
-    wanted = ordered.filter(
-        (F.col("total") >= LARGE) & (F.col("is_anomaly") | (F.col("anomaly_score") >= 0.55))
-    ).select("dataset", "pos")
-    starts = base.select("dataset", F.col("start_id").alias("pos")).distinct()
-    first_at = F.greatest(F.lit(0), F.col("pos") - 2).cast("long")
-    # Equal starts are equal windows, also where the base has them already.
+def anomalous_passages(ordered: DataFrame, base: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Windows around anomalous rows, beginning two rows before them, where no base window begins."""
+    wanted = ordered.filter(F.col("is_anomaly") | (F.col("anomaly_score") >= 0.55))
     fresh = (
-        wanted.join(starts, ["dataset", "pos"], "left_anti")
-        .select("dataset", first_at.alias("start"))
+        wanted.select("dataset", F.greatest(F.lit(0), F.col("pos") - 2).cast("long").alias("start"))
         .distinct()
         .join(base.select("dataset", "start"), ["dataset", "start"], "left_anti")
     )
-    room = base.groupBy("dataset").agg(F.count(F.lit(1)).alias("_have"))
-    order = Window.partitionBy("dataset").orderBy("start")
-    taken = (
-        fresh.withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= most)
-        .join(room, "dataset")
-        .filter(F.col("_rank") + F.col("_have") <= most)
-        .select("dataset", "start", F.explode(F.sequence(F.col("start"), F.col("start") + (size - 1))).alias("pos"))
-    )
-    return _fold(ordered.join(cut(taken, "anomalous-windows"), ["dataset", "pos"]))
+    rows = fresh.select("dataset", "start", F.explode(F.sequence(F.col("start"), F.col("start") + (size - 1))).alias("pos"))
+    return _fold(ordered.join(cut(rows, "anomalous-windows"), ["dataset", "pos"]))
 
 
 # --------------------------------------------------------------------------- #
@@ -122,19 +95,27 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
     )
 
 
-def term_stats(counted: DataFrame, most: int = VOCABULARY) -> DataFrame:
-    """Corpus and document frequency of the ``most`` frequent terms (ties by term)."""
+def term_stats(counted: DataFrame, most: int | None = None) -> DataFrame:
+    """Corpus and document frequency of every term, or of the ``most`` frequent ones (ties by term).
+
+    A cut ranks the terms of hash slices first, so no task sorts a whole vocabulary.
+    """
     stats = counted.groupBy("dataset", "term").agg(
         F.sum("tf").alias("corpus_tf"), F.count(F.lit(1)).alias("df")
     )
-    order = Window.partitionBy("dataset").orderBy(F.desc("corpus_tf"), "term")
-    return stats.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
+    if most is None:
+        return stats
+    order = (F.desc("corpus_tf"), "term")
+    part = Window.partitionBy("dataset", F.pmod(F.hash("term"), F.lit(SLICES))).orderBy(*order)
+    stats = stats.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= most)
+    whole = Window.partitionBy("dataset").orderBy(*order)
+    return stats.withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") <= most).drop("_r")
 
 
 class TermIndex:
-    """Written tables of one index: weights per (chunk, term) and the vocabulary."""
+    """Written tables of one index: weights per (chunk, term), their norms and the vocabulary (all terms by default)."""
 
-    def __init__(self, chunks: DataFrame, most: int = VOCABULARY):
+    def __init__(self, chunks: DataFrame, most: int | None = None):
         self.chunks = chunks
         counted = cut(chunk_terms(chunks), "chunk-terms")
         n = cut(chunks.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_chunks")), "n-chunks")
@@ -146,9 +127,8 @@ class TermIndex:
             self.vocabulary.select("dataset", "term", "idf"), ["dataset", "term"]
         ).withColumn("w", F.col("tf") * F.col("idf"))
         self.weights = cut(weights.select("dataset", "chunk_id", "term", "w"), "weights")
-        self.norms = self.weights.groupBy("dataset", "chunk_id").agg(
-            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
-        )
+        norms = self.weights.groupBy("dataset", "chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        self.norms = cut(norms, "norms")
 
     def search(self, questions: DataFrame, top_k: int = 3) -> DataFrame:
         """``questions(question_id, text)`` -> best chunks per dataset and question.
@@ -198,34 +178,39 @@ def search(
     return index.search(questions, top_k)
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = 3, batch: int = 256) -> DataFrame:
+def dense_search(
+    vectors: DataFrame, queries: DataFrame, top_k: int = 3, asked_block: int = 256, vector_block: int = 4096
+) -> DataFrame:
     """``vectors(vec_id, embedding)``, ``queries(query_id, embedding)`` -> top cosine matches.
 
-    At most ``batch`` questions are asked at once, which bounds what travels to
-    the tasks. A task multiplies each Arrow batch of vectors with the questions
-    and keeps its own best ``top_k`` per question, so only those are shuffled.
+    Any number of questions meets all vectors block by block: a task multiplies
+    about ``vector_block`` vectors with about ``asked_block`` questions and keeps
+    its best ``top_k`` per question, so only those are shuffled on. Blocks come
+    from hashes of the ids and are counted beforehand.
     """
-    asked = queries.select("query_id", "embedding").orderBy("query_id").limit(batch + 1).collect()
-    if len(asked) > batch:
-        raise ValueError(f"ask at most {batch} questions at once")
-    if not asked:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    ids = np.array([row[0] for row in asked])
-    wanted = _unit_rows(np.array([row[1] for row in asked], dtype="float64"))
-
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            have = _unit_rows(np.array(pdf.embedding.tolist(), dtype="float64"))
-            scores = wanted @ have.T
-            vec = pdf.vec_id.to_numpy()
-            for q, row in enumerate(scores):
-                best = np.lexsort((vec, -np.round(row, 9)))[:top_k]
-                best = best[row[best] > LEAST_SCORE]
-                yield pd.DataFrame({"query_id": ids[q], "vec_id": vec[best], "raw": row[best]})
-
-    found = vectors.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, raw double")
+    sizes = vectors.agg(F.count(F.lit(1)).alias("n")).first().n, queries.agg(F.count(F.lit(1)).alias("n")).first().n
+    slices, blocks = -(-max(sizes[0], 1) // vector_block), -(-max(sizes[1], 1) // asked_block)
+    have = vectors.select(
+        "vec_id", F.col("embedding").alias("vector"), F.pmod(F.xxhash64("vec_id"), F.lit(slices)).alias("slice"),
+        F.explode(_numbers(blocks)).alias("block"))
+    asked = queries.select(
+        "query_id", F.col("embedding").alias("question"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
+        F.explode(_numbers(slices)).alias("slice"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "raw": []})
+        scores = _unit_rows(np.array(right.question.tolist(), dtype="float64")) @ _unit_rows(
+            np.array(left.vector.tolist(), dtype="float64")).T
+        vec, found = left.vec_id.to_numpy(), []
+        for q, row in zip(right.query_id.to_numpy(), scores, strict=True):
+            best = np.lexsort((vec, -np.round(row, 9)))[:top_k]
+            best = best[row[best] > LEAST_SCORE]
+            found.append(pd.DataFrame({"query_id": q, "vec_id": vec[best], "raw": row[best]}))
+        return pd.concat(found)
+
+    found = have.groupBy("slice", "block").cogroup(asked.groupBy("slice", "block")).applyInPandas(
+        run, "query_id long, vec_id long, raw double")
     order = Window.partitionBy("query_id").orderBy(F.desc("_tie"), "vec_id")
     return (
         found.withColumn("_tie", half_up(F.col("raw"), 9))
@@ -235,6 +220,10 @@ def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = 3, batch:
     )
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def _unit_rows(rows: np.ndarray) -> np.ndarray:
     norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return rows / np.where(norms == 0, 1.0, norms)
@@ -266,8 +255,14 @@ def evidence_rows(found: DataFrame, ordered: DataFrame, chunks: DataFrame) -> Da
     )
 
 
-def grounded_answers(questions: DataFrame, datasets: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One answer per dataset and question, citing the best evidence; none -> abstain."""
+def grounded_answers(
+    questions: DataFrame, datasets: DataFrame, evidence: DataFrame, citations: int | None = None
+) -> DataFrame:
+    """One answer per dataset and question, citing the best evidence; none -> abstain.
+
+    ``n_cited`` counts all evidence, or up to ``citations``. Questions are a
+    table of any size; every dataset meets the questions of a hash slice.
+    """
     folded = evidence.groupBy("dataset", "question_id").agg(
         F.min_by(F.struct("log_id", "timestamp", "service", "message", "score"), "place").alias("top"),
         F.count(F.lit(1)).alias("n_evidence"),
@@ -283,16 +278,15 @@ def grounded_answers(questions: DataFrame, datasets: DataFrame, evidence: DataFr
         "No relevant log passages were found matching your query. Please broaden your search terms "
         "or verify that logs are ingested."
     )
-    ids = [row[0] for row in questions.select("question_id").limit(MAX_QUESTIONS + 1).collect()]
-    if len(ids) > MAX_QUESTIONS:
-        raise ValueError(f"ask at most {MAX_QUESTIONS} questions at once")
-    asked = datasets.select("dataset").distinct().select(
-        "dataset", F.explode(F.array(*[F.lit(i).cast("long") for i in ids])).alias("question_id")
-    )
+    sliced = questions.select("question_id", F.pmod(F.xxhash64("question_id"), F.lit(SLICES)).alias("slice"))
+    spread = datasets.select("dataset").distinct().select(
+        "dataset", F.explode(_numbers(SLICES)).alias("slice"))
+    asked = sliced.join(spread, "slice").select("dataset", "question_id")
+    cited = F.coalesce("n_evidence", F.lit(0))
     return asked.join(folded, ["dataset", "question_id"], "left").select(
         "dataset", "question_id",
         F.when(top.isNull(), nothing).otherwise(text).alias("answer"),
         F.when(top.isNull(), 0.0).otherwise(half_up(top["score"], 2)).alias("confidence"),
-        F.least(F.coalesce("n_evidence", F.lit(0)), F.lit(5)).alias("n_cited"),
+        (cited if citations is None else F.least(cited, F.lit(citations))).alias("n_cited"),
         top.isNull().alias("abstained"),
     )

@@ -184,8 +184,7 @@ SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY id) - 1 AS pos, count
     cte(f"passages{p}", f"""
 SELECT dataset, start, min(id) AS start_id, max(id) AS end_id, count(*) AS n_rows, bool_or(is_anomaly) AS has_anomaly,
   string_agg('[' || level || '] ' || service || ': ' || message, ' | ' ORDER BY pos) AS text, 'chunk_' || min(id) || '_' || max(id) AS chunk_id
-FROM (SELECT *, unnest(list_filter([pos, pos - 1, pos - 2, pos - 3, pos - 4], lambda s: s >= 0 AND s % step = 0)) AS start FROM (
- SELECT *, CASE WHEN total < 10000 THEN 2 ELSE greatest(5, total // 2000) END AS step FROM ordered{p})) GROUP BY 1, 2""", f"ordered{p}")
+FROM (SELECT *, unnest(list_filter([pos, pos - 1, pos - 2, pos - 3, pos - 4], lambda s: s >= 0 AND s % 2 = 0)) AS start FROM ordered{p}) GROUP BY 1, 2""", f"ordered{p}")
 
 
 passage_blocks("", "scored")
@@ -193,13 +192,8 @@ passage_blocks("_all", "scored_all")
 cte("extra_all", """
 SELECT dataset, start, min(o.id) AS start_id, max(o.id) AS end_id, count(*) AS n_rows, bool_or(o.is_anomaly) AS has_anomaly,
   string_agg('[' || o.level || '] ' || o.service || ': ' || o.message, ' | ' ORDER BY o.pos) AS text, 'chunk_' || min(o.id) || '_' || max(o.id) AS chunk_id
-FROM (SELECT dataset, start FROM (
-  SELECT dataset, start, row_number() OVER (PARTITION BY dataset ORDER BY start) AS rk FROM (
-   SELECT DISTINCT dataset, greatest(0, pos - 2) AS start FROM ordered_all o
-   WHERE total >= 10000 AND (is_anomaly OR anomaly_score >= 0.55)
-     AND NOT EXISTS (SELECT 1 FROM passages_all b WHERE b.dataset = o.dataset AND b.start_id = o.pos)) f
-  WHERE NOT EXISTS (SELECT 1 FROM passages_all b WHERE b.dataset = f.dataset AND b.start = f.start))
- JOIN (SELECT dataset, count(*) AS have FROM passages_all GROUP BY 1) USING (dataset) WHERE rk + have <= 5000) t
+FROM (SELECT DISTINCT dataset, greatest(0, pos - 2) AS start FROM ordered_all WHERE is_anomaly OR anomaly_score >= 0.55
+ EXCEPT SELECT dataset, start FROM passages_all) t
 JOIN ordered_all o USING (dataset) WHERE o.pos BETWEEN t.start AND t.start + 4 GROUP BY 1, 2""", "ordered_all", "passages_all")
 
 TERM_LIST = "regexp_extract_all(lower(text), " + q(P.TERM) + ")"
@@ -209,9 +203,8 @@ SELECT dataset, chunk_id, term, count(*) AS tf FROM (
  SELECT dataset, chunk_id, unnest({TERMS}) AS term FROM (SELECT *, {TERM_LIST} AS w FROM passages)) GROUP BY 1, 2, 3""", "passages")
 cte("vocab", """
 SELECT *, ln((1 + n_chunks) / (1 + df)) + 1.0::DOUBLE AS idf FROM (
- SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY corpus_tf DESC, term) AS rk FROM (
-  SELECT dataset, term, sum(tf)::BIGINT AS corpus_tf, count(*) AS df FROM chunk_terms GROUP BY 1, 2))
-JOIN (SELECT dataset, count(*) AS n_chunks FROM passages GROUP BY 1) USING (dataset) WHERE rk <= 2048""", "chunk_terms", "passages")
+ SELECT dataset, term, sum(tf)::BIGINT AS corpus_tf, count(*) AS df FROM chunk_terms GROUP BY 1, 2)
+JOIN (SELECT dataset, count(*) AS n_chunks FROM passages GROUP BY 1) USING (dataset)""", "chunk_terms", "passages")
 cte("weights", "SELECT dataset, chunk_id, term, tf * idf AS w FROM chunk_terms JOIN vocab USING (dataset, term)", "chunk_terms", "vocab")
 
 

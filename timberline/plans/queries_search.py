@@ -61,7 +61,7 @@ def evidence_distinct(t):
 SELECT d.dataset, qn.question_id, CASE WHEN c.n IS NULL THEN 'No relevant log passages were found matching your query. Please broaden your search terms or verify that logs are ingested.'
  ELSE 'Based on retrieved evidence from Line ' || log_id || ' (timestamp: ' || timestamp || '), the event was recorded by service ''' || service
   || ''' with message: "' || message || '". Total matching evidence events: ' || c.n || '.' END AS answer,
- CASE WHEN c.n IS NULL THEN 0.0::DOUBLE ELSE {half_up('score', 2)} END AS confidence, least(coalesce(c.n, 0), 5) AS n_cited, c.n IS NULL AS abstained
+ CASE WHEN c.n IS NULL THEN 0.0::DOUBLE ELSE {half_up('score', 2)} END AS confidence, coalesce(c.n, 0) AS n_cited, c.n IS NULL AS abstained
 FROM (SELECT DISTINCT dataset FROM scored) d CROSS JOIN questions qn
 LEFT JOIN (SELECT * FROM cited JOIN (SELECT dataset, question_id, count(*) AS n FROM cited GROUP BY 1, 2) USING (dataset, question_id) WHERE place = 1) c
 ON c.dataset = d.dataset AND c.question_id = qn.question_id""", "scored", "questions", "cited"))
