@@ -98,3 +98,17 @@ def test_corpora_and_truth(spark, tmp_path):
     with pytest.raises(KeyError):
         CO.get_corpus("nope")
     assert CO.read_structured(spark, str(tmp_path / "no.csv")).columns == ["LineId", "Time", "Level", "Content", "EventTemplate"]
+
+
+def test_conditions_reach_the_scan(spark, tmp_path):
+    """``where`` prunes folders and pushes the id filter into the scan."""
+    from timberline.operators.normalize import normalize
+
+    rows = [(d, "generic", d, n, n, f"2024-01-01 00:00:00 INFO svc: line {n}") for d in ("a", "b") for n in range(1, 40)]
+    lines = spark.createDataFrame(rows, "dataset string, dialect string, source_id string, source_line long, id long, line string")
+    lines.write.partitionBy("dataset").parquet(str(tmp_path / "lines"))
+    events = normalize(spark.read.parquet(str(tmp_path / "lines")), where="dataset = 'a' AND id < 10")
+    plan = events._jdf.queryExecution().executedPlan().toString()
+    assert "dataset" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "LessThan(id,10)" in plan.split("PushedFilters: [")[1].split("]")[0]
+    assert events.count() == 9

@@ -294,7 +294,7 @@ def entity_steps(source: str = "raw") -> list[Column]:
     """The ``entities`` struct; a plain test spares lines the longer patterns.
 
     Blocks are listed only when the line names more than one; addresses are
-    distinct in order of appearance; at most three registers are kept.
+    distinct in order of appearance; all registers are kept.
     """
     text = F.col(source)
     finds = {
@@ -317,7 +317,7 @@ def entity_steps(source: str = "raw") -> list[Column]:
             _first(F.col("_nodes")).alias("bgl_node"),
             F.when(F.size("_ips") > 0, F.array_distinct("_ips")).alias("ips"),
             _first(F.col("_users")).alias("user"),
-            F.when(F.size("_regs") > 0, F.slice("_regs", 1, 3)).alias("memory_registers"),
+            F.when(F.size("_regs") > 0, F.col("_regs")).alias("memory_registers"),
         ).alias("entities")
     ]
 

@@ -53,6 +53,11 @@ def lookup(key: Column, table: dict, other) -> Column:
     return out.otherwise(F.lit(other))
 
 
+def shortened(value: Column, chars: int | None) -> Column:
+    """The whole text, or its first ``chars`` characters."""
+    return value if chars is None else F.substring(value, 1, chars)
+
+
 def two_decimals(value: Column) -> Column:
     """Fixed two-decimal text of a score."""
     cents = F.floor(value * 100 + 0.5)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from timberline.functions import scores as S
-from timberline.functions.text import half_up, two_decimals
+from timberline.functions.text import half_up, shortened, two_decimals
 from timberline.operators.components import connected_components
 from timberline.operators.ordering import BLOCK, number_densely, ordinal_by_sort, with_previous
 from timberline.session import cut
@@ -216,8 +216,8 @@ def incident_entities(members: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def top_evidence(members: DataFrame, n: int = 8) -> DataFrame:
-    """The ``n`` best-scored events of each incident (ties by time, then id)."""
+def top_evidence(members: DataFrame, n: int = 8, chars: int | None = None) -> DataFrame:
+    """The ``n`` best-scored events of each incident (ties by time, then id); messages in full or up to ``chars``."""
     order = Window.partitionBy("dataset", "incident_id").orderBy(
         F.desc("anomaly_score"), "timestamp_epoch", "id"
     )
@@ -226,7 +226,7 @@ def top_evidence(members: DataFrame, n: int = 8) -> DataFrame:
         .filter(F.col("rank") <= n)
         .select(
             "dataset", "incident_id", "rank", F.col("id").alias("log_id"), "timestamp", "level",
-            F.substring("message", 1, 180).alias("message"),
+            shortened(F.col("message"), chars).alias("message"),
             F.concat(
                 F.lit("Anomaly score "), two_decimals(F.col("anomaly_score")),
                 F.lit(" - template "), F.col("template_id"),

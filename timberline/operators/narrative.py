@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.functions.text import shortened
+
 # Search words of the rules, confidences and texts.
 # {blk} {user} {ip} {node} {req} {svc} {n} {first} {last} {ref} {msg} are filled per incident.
 RULES = (
@@ -72,17 +74,18 @@ def _fill(text: str, slots: dict[str, Column]) -> Column:
     return F.concat(*pieces)
 
 
-def incident_narrative(members: DataFrame) -> DataFrame:
+def incident_narrative(members: DataFrame, chars: int | None = None) -> DataFrame:
     """Rule, texts and confidence per incident, citing its first event.
 
     Which words occur is folded with ``max`` per incident; the first event and
-    first address come from minima, so nothing is collected.
+    first address come from minima, so nothing is collected. The message is cited
+    in full, or up to ``chars`` characters.
     """
     message = F.lower("message")
     ips = F.col("entities.ips")
     first = F.struct(
         F.col("timestamp_epoch").alias("epoch"), F.col("id"), F.col("timestamp").alias("ts"),
-        "service", "host", F.substring("message", 1, 120).alias("message"),
+        "service", "host", shortened(F.col("message"), chars).alias("message"),
         F.col("entities.block_id").alias("block_id"), F.col("entities.user").alias("user"),
         F.col("entities.bgl_node").alias("bgl_node"), F.col("entities.req_id").alias("req_id"),
     )

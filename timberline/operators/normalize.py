@@ -26,13 +26,17 @@ def syslog_year(dataset: Column, prefix_rule: bool = False) -> Column:
 
 
 def normalize(
-    lines: DataFrame, dialect: Column | str = "dialect", year: Column | int | None = None
+    lines: DataFrame, dialect: Column | str = "dialect", year: Column | int | None = None, where: Column | str | None = None
 ) -> DataFrame:
     """Parse a table of lines (batch or stream) into events, in one projection.
 
     Needs ``dataset, source_id, source_line, id, line``; ``dialect`` is a column
-    or a column name, so one job can parse corpora of several dialects.
+    or a column name, so one job can parse corpora of several dialects. A
+    condition ``where`` on those columns reaches the scan; filters above the
+    parsed events do not, as they would repeat every parsing step.
     """
+    if where is not None:
+        lines = lines.filter(where)
     dialect = F.col(dialect) if isinstance(dialect, str) else dialect
     year = syslog_year(F.col("dataset")) if year is None else year
     year = F.lit(year) if isinstance(year, int) else year
@@ -94,11 +98,13 @@ def head_sample(lines: DataFrame, limit: int = 100) -> DataFrame:
     return lines.filter((F.col("id") <= limit) & (strip(F.col("line")) != ""))
 
 
-def dialect_vote(lines: DataFrame, voters: int = 50, floor: float = 0.3) -> DataFrame:
-    """Winning dialect per dataset from its first ``voters`` non-blank lines."""
-    sample = head_sample(lines, voters).select(
-        "dataset", dialect_of(strip(F.col("line"))).alias("_vote")
-    )
+def dialect_vote(lines: DataFrame, voters: int | None = None, floor: float = 0.3) -> DataFrame:
+    """Winning dialect per dataset from all its non-blank lines, or from the first ``voters``.
+
+    One aggregate without a sort; votes are counted before they are shuffled.
+    """
+    asked = lines.filter(strip(F.col("line")) != "") if voters is None else head_sample(lines, voters)
+    sample = asked.select("dataset", dialect_of(strip(F.col("line"))).alias("_vote"))
     names = P.DIALECT_VOTE_ORDER
     counts = sample.groupBy("dataset").agg(
         F.count(F.lit(1)).alias("sample_count"),

@@ -74,6 +74,26 @@ def with_previous(
     )
 
 
+def number_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Gap-free numbers from 1 per ``keys`` in a composite order, written once.
+
+    Rows are dealt by range, so a hot key spreads over tasks; a row's number is
+    its place in its range plus the rows of its key in lower ranges.
+    """
+    keys = list(keys)
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    ranged = cut(ranged, "ranges")
+    counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = with_offsets(counts, keys, ["_part"], "_n", "_before").drop("_n")
+    inner = Window.partitionBy(*keys, "_part").orderBy(*order)
+    return (
+        ranged.withColumn("_rank", F.row_number().over(inner))
+        .join(before, [*keys, "_part"])
+        .withColumn(name, F.col("_rank") + F.col("_before"))
+        .drop("_rank", "_before", "_part")
+    )
+
+
 def ordinal_by_sort(df: DataFrame, order: Sequence[Column | str], name: str, label: str) -> DataFrame:
     """Order-preserving long for a composite order, fixed by writing the table once.
 

@@ -194,7 +194,7 @@ SELECT *,
   nullif(regexp_extract(raw, {q(P.ENT_NODE)}, 1), '') AS bgl_node,
   regexp_extract_all(raw, {q(P.ENT_IPV4)}) AS ips,
   nullif(regexp_extract(raw, {ci(P.ENT_USER)}, 1), '') AS ent_user,
-  regexp_extract_all(raw, {q(P.ENT_REGISTER)}, 1)[1:3] AS registers
+  regexp_extract_all(raw, {q(P.ENT_REGISTER)}, 1) AS registers
 FROM ({head})"""
     msg = f"""
 SELECT * EXCLUDE (host0), CASE WHEN host0 = 'local' THEN coalesce(bgl_node, 'local') ELSE host0 END AS host,

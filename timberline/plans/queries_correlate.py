@@ -136,7 +136,7 @@ def incident_entities(t):
 
 
 @query("top_evidence", chain(f"""
-SELECT dataset, incident_id, rank, id AS log_id, timestamp, level, substr(message, 1, 180) AS message,
+SELECT dataset, incident_id, rank, id AS log_id, timestamp, level, message,
  'Anomaly score ' || {OP.two_decimals('anomaly_score')} || ' - template ' || template_id AS reason
 FROM (SELECT *, row_number() OVER (PARTITION BY dataset, incident_id ORDER BY anomaly_score DESC, timestamp_epoch, id) AS rank FROM members) WHERE rank <= 8""", "members"))
 def top_evidence(t):
@@ -187,7 +187,7 @@ FROM (SELECT dataset, incident_id,
  coalesce(arg_min(ips[1], o) FILTER (len(ips) > 0), 'remote source') AS s_ip,
  coalesce((list(bgl_node ORDER BY timestamp_epoch, id))[1], nullif(arg_min(host, o), ''), 'node') AS s_node,
  coalesce((list(req_id ORDER BY timestamp_epoch, id))[1], 'request') AS s_req,
- arg_min(service, o) AS s_svc, arg_min(substr(message, 1, 120), o) AS s_msg
+ arg_min(service, o) AS s_svc, arg_min(message, o) AS s_msg
  FROM (SELECT *, {{'e': timestamp_epoch, 'i': id}} AS o FROM members) GROUP BY 1, 2)"""
 
 

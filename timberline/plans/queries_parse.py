@@ -55,7 +55,7 @@ _WIN = "CASE " + " ".join(f"WHEN n_{n} = best THEN '{n}'" for n in P.DIALECT_VOT
 SELECT * EXCLUDE (best), CASE WHEN best / sample_count >= 0.3 THEN {_WIN} ELSE 'generic' END AS dialect,
  CASE WHEN best / sample_count >= 0.3 THEN {half_up('best / sample_count', 2)} ELSE 0.5::DOUBLE END AS confidence
 FROM (SELECT *, {_BEST} AS best FROM (
- SELECT dataset, count(*) AS sample_count, {_VOTES} FROM (SELECT dataset, {DIALECT_SQL} AS d FROM log_lines WHERE id <= 50) GROUP BY 1))""", "log_lines"))
+ SELECT dataset, count(*) AS sample_count, {_VOTES} FROM (SELECT dataset, {DIALECT_SQL} AS d FROM log_lines) GROUP BY 1))""", "log_lines"))
 def dialect_vote(t):
     return N.dialect_vote(t.lines)
 

@@ -81,7 +81,7 @@ def kpi_metrics(t):
 
 _FORMATS = f"""
 SELECT dataset, CASE WHEN best / sample_count >= 0.3 THEN {_WIN} ELSE 'generic' END AS dialect FROM (SELECT *, {_BEST} AS best FROM (
- SELECT dataset, count(*) AS sample_count, {_VOTES} FROM (SELECT dataset, {DIALECT_SQL} AS d FROM log_lines WHERE id <= 50) GROUP BY 1))"""
+ SELECT dataset, count(*) AS sample_count, {_VOTES} FROM (SELECT dataset, {DIALECT_SQL} AS d FROM log_lines) GROUP BY 1))"""
 _LEVELS = ", ".join(f"count(*) FILTER (level = '{n}') AS n_{n.lower()}" for n in ("DEBUG", "INFO", "WARN", "ERROR", "FATAL", "CRITICAL"))
 
 

@@ -52,7 +52,7 @@ def stream_sketch(t):
 
 
 @query("sketch_evidence", chain(f"""
-SELECT dataset, template_id, actor, place, id AS log_id, timestamp, level, substr(message, 1, 180) AS message,
+SELECT dataset, template_id, actor, place, id AS log_id, timestamp, level, message,
  'Streaming anomaly score ' || {OP.two_decimals('anomaly_score')} || ' - template ' || template_id AS reason FROM (
  SELECT *, row_number() OVER (PARTITION BY dataset, template_id, actor ORDER BY (contains(level, 'ERROR') OR contains(level, 'FATAL')) DESC, id DESC) AS place
  FROM (SELECT *, {OP.ACTOR} AS actor FROM stateless WHERE is_anomaly)) WHERE place <= 8""", "stateless"))
@@ -66,7 +66,7 @@ SELECT dataset, 'STREAM-' || (100 + r) AS incident_id, severity[1] || lower(seve
  format('{{:,}}', count) || ' streamed anomalous events grouped by template and ' || actor || '.' AS summary, template_id, actor,
  first_timestamp AS start_time, last_timestamp AS end_time, count AS event_count FROM (
  SELECT *, CASE WHEN peak_score >= 0.95 THEN 'CRITICAL' WHEN peak_score >= 0.80 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
-  row_number() OVER (PARTITION BY dataset ORDER BY peak_score DESC, count DESC, template_id, actor) AS r FROM ({cte_sql})) WHERE r <= 200""", "stateless"))
+  row_number() OVER (PARTITION BY dataset ORDER BY peak_score DESC, count DESC, template_id, actor) AS r FROM ({cte_sql}))""", "stateless"))
 def bulk_incidents(t):
     return J.bulk_incidents(J.incident_sketch(t.stateless))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -55,7 +56,7 @@ def workspace(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.timberline.workspace", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="timberline-")
     spark.conf.set("spark.timberline.workspace", folder)

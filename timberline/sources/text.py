@@ -94,7 +94,7 @@ def number_lines(
 
 
 def load_file(
-    spark: SparkSession, path: str, max_lines: int | None = 5000, dataset: str | None = None
+    spark: SparkSession, path: str, max_lines: int | None = None, dataset: str | None = None
 ) -> DataFrame:
     """Numbered lines of one file or folder, its path as source."""
     return number_lines(scan_text(spark, path, dataset), source_id=os.path.abspath(path), max_lines=max_lines)

@@ -19,9 +19,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from timberline.functions import masking as M
 from timberline.functions import patterns as P
 from timberline.functions import scores as S
-from timberline.functions.text import half_up, two_decimals
+from timberline.functions.text import half_up, shortened, two_decimals
 from timberline.operators.incremental import with_identity
 from timberline.operators.normalize import normalize
+from timberline.operators.ordering import number_in_order, with_offsets
 from timberline.operators.scoring import score_core, score_stateless
 from timberline.operators.templates import SIMILARITY, LeafClusters
 from timberline.sources.parquet import append_events, save_events, to_stored
@@ -112,8 +113,8 @@ def incident_sketch(events: DataFrame) -> DataFrame:
     )
 
 
-def sketch_evidence(events: DataFrame, most: int = 8) -> DataFrame:
-    """Evidence of each sketch: errors first, then the latest."""
+def sketch_evidence(events: DataFrame, most: int = 8, chars: int | None = None) -> DataFrame:
+    """Evidence of each sketch: errors first, then the latest; messages in full or up to ``chars``."""
     severe = F.col("level").contains("ERROR") | F.col("level").contains("FATAL")
     order = Window.partitionBy("dataset", "template_id", "actor").orderBy(F.desc("_severe"), F.desc("id"))
     return (
@@ -124,19 +125,18 @@ def sketch_evidence(events: DataFrame, most: int = 8) -> DataFrame:
         .filter(F.col("place") <= most)
         .select(
             "dataset", "template_id", "actor", "place", F.col("id").alias("log_id"), "timestamp", "level",
-            F.substring("message", 1, 180).alias("message"),
+            shortened(F.col("message"), chars).alias("message"),
             F.concat(F.lit("Streaming anomaly score "), two_decimals(F.col("anomaly_score")),
                      F.lit(" - template "), F.col("template_id")).alias("reason"),
         )
     )
 
 
-def bulk_incidents(sketches: DataFrame, most: int = 200) -> DataFrame:
-    """The ``most`` strongest sketches per dataset as numbered reports."""
-    order = Window.partitionBy("dataset").orderBy(
-        F.desc("peak_score"), F.desc("count"), "template_id", "actor"
-    )
-    ranked = sketches.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most)
+def bulk_incidents(sketches: DataFrame, most: int | None = None) -> DataFrame:
+    """All sketches, or the ``most`` strongest per dataset, as reports numbered by strength."""
+    ranked = number_in_order(sketches, ["dataset"], [F.desc("peak_score"), F.desc("count"), F.asc("template_id"), F.asc("actor")], "_r")
+    if most is not None:
+        ranked = ranked.filter(F.col("_r") <= most)
     peak = F.col("peak_score")
     severity = F.when(peak >= 0.95, "CRITICAL").when(peak >= 0.80, "HIGH").otherwise("MEDIUM")
     return ranked.withColumn("severity", severity).select(
@@ -159,15 +159,22 @@ def start_sketch(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return start_batches(incident_sketch(events), publish, checkpoint, mode="complete")
 
 
-def uniform_preview(events: DataFrame, most: int = 20000, seed: int = 42) -> DataFrame:
-    """A uniform sample per dataset, repeatable: the rows of smallest hash."""
+def uniform_preview(events: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """A uniform sample of ``most`` rows per dataset, repeatable: the rows of smallest hash.
+
+    Hashes are counted by their first digits; only the slices that reach into
+    the sample are ranked, each on its own.
+    """
     spot = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))
-    order = Window.partitionBy("dataset").orderBy("_spot", "id")
+    spots = events.withColumn("_spot", spot).withColumn("_slice", F.substring("_spot", 1, 3))
+    counts = spots.groupBy("dataset", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = with_offsets(counts, ["dataset"], ["_slice"], "_n", "_before").filter(F.col("_before") < most).drop("_n")
+    order = Window.partitionBy("dataset", "_slice").orderBy("_spot", "id")
     return (
-        events.withColumn("_spot", spot)
-        .withColumn("_r", F.row_number().over(order))
+        spots.join(before, ["dataset", "_slice"])
+        .withColumn("_r", F.row_number().over(order) + F.col("_before"))
         .filter(F.col("_r") <= most)
-        .drop("_spot", "_r")
+        .select(*events.columns)
     )
 
 
