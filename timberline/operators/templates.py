@@ -6,6 +6,7 @@ weight here. Routing narrows texts to leaves; clustering runs per leaf.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import Window
 
 from timberline.functions import masking as M
 from timberline.functions import patterns as P
+from timberline.operators.ordering import block_of, with_offsets
 from timberline.session import cut
 
 SIMILARITY = 0.5
@@ -115,41 +117,65 @@ def similar_templates(leaves: DataFrame, st: float = SIMILARITY) -> DataFrame:
 # --------------------------------------------------------------------------- #
 # Clustering
 # --------------------------------------------------------------------------- #
-class LeafClusters:
-    """The clusters of one leaf in founding order, fed texts in id order."""
-
-    def __init__(self, st: float = SIMILARITY):
-        self.st = st
-        self.templates: list[list[str]] = []
-        self.founders: list[str] = []
-
-    def find(self, tokens: list[str]) -> int:
-        """First cluster of greatest similarity, -1 if it stays below the threshold."""
-        best, at = -1, -1
-        for i, template in enumerate(self.templates):
-            same = sum(1 for a, b in zip(tokens, template) if a == b and a != P.WILDCARD)
-            if same > best:
-                best, at = same, i
-        return at if at >= 0 and best / len(tokens) >= self.st else -1
-
-    def add(self, tokens: list[str]) -> int:
-        at = self.find(tokens)
-        if at < 0:
-            self.templates.append(list(tokens))
-            self.founders.append(" ".join(tokens))
-            return len(self.templates) - 1
-        template = self.templates[at]
-        for i, token in enumerate(tokens):
-            if template[i] != token:
-                template[i] = P.WILDCARD
-        return at
-
-    def changes(self, tokens: list[str]) -> tuple[int, bool]:
-        """Where a text would go, and whether that would alter the clusters."""
-        at = self.find(tokens)
-        if at < 0:
-            return at, True
-        return at, any(a != b and b != P.WILDCARD for a, b in zip(tokens, self.templates[at]))
+class LeafMatcher:
+    """Clusters of one leaf as a matrix of token codes; code 0 is the wildcard.
+
+    All texts of a leaf have the same number of tokens, so a text meets all
+    clusters in one comparison, and many texts meet them position by position.
+    """
+
+    def __init__(self, st: float = SIMILARITY, templates=(), founders=()):
+        self.st, self.code, self.word = st, {P.WILDCARD: 0}, [P.WILDCARD]
+        self.founders = list(founders)
+        self.size = len(self.founders)
+        self.grid = self.encode(templates)
+
+    def encode(self, texts) -> np.ndarray:
+        rows = [text.split(" ") for text in texts]
+        for token in {t for row in rows for t in row} - self.code.keys():
+            self.code[token] = len(self.word)
+            self.word.append(token)
+        return np.array([[self.code[t] for t in row] for row in rows], np.int32).reshape(len(rows), len(rows[0]) if rows else 0)
+
+    @property
+    def templates(self) -> list[str]:
+        return [" ".join(self.word[c] for c in row) for row in self.grid[: self.size]]
+
+    def settle(self, texts) -> list[int]:
+        """Take texts in order; each joins its most similar cluster, or founds one. Returns their clusters."""
+        texts, places = list(texts), []
+        for text, row in zip(texts, self.encode(texts), strict=True):
+            if not self.grid.size:
+                self.grid = np.zeros((8, len(row)), np.int32)
+            equal = ((self.grid[: self.size] == row) & (row != 0)).sum(1)
+            at = int(equal.argmax()) if self.size else -1
+            if at >= 0 and equal[at] / len(row) >= self.st:
+                self.grid[at] = np.where(self.grid[at] == row, row, 0)
+            else:
+                at = self.size
+                if at == len(self.grid):
+                    self.grid = np.concatenate([self.grid, np.zeros_like(self.grid)])
+                self.grid[at] = row
+                self.founders.append(text)
+                self.size += 1
+            places.append(at)
+        return places
+
+    def probe(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text would go among the clusters as they are (-1: a new one), and whether that would change any."""
+        rows, now = self.encode(texts), self.grid[: self.size]
+        at, moves = np.full(len(rows), -1), np.ones(len(rows), bool)
+        for low in range(0, len(rows), 512):
+            part = rows[low : low + 512]
+            equal = np.zeros((len(part), self.size), np.int32)
+            for k in range(part.shape[1]):
+                equal += (part[:, k, None] == now[None, :, k]) & (part[:, k, None] != 0)
+            best = equal.argmax(1)
+            fits = equal[np.arange(len(part)), best] / part.shape[1] >= self.st
+            changed = ((part != now[best]) & (now[best] != 0)).any(1)
+            at[low : low + 512] = np.where(fits, best, -1)
+            moves[low : low + 512] = ~fits | changed
+        return at, moves
 
 
 _STEP = (
@@ -164,10 +190,10 @@ def cluster_templates(leaves: DataFrame, st: float = SIMILARITY, head: int = 200
     A text joins the most similar earlier cluster of its leaf, which turns the
     differing positions into wildcards, or founds one. The order matters only
     while texts still change clusters, so the work goes in rounds. Per leaf, the
-    first ``head`` open texts are clustered in order in one small group. All
+    first open texts (``head`` to twice that) are clustered in order in one small group. All
     other open texts are then matched in parallel, in groups of bounded size,
     and those before the first one that would change anything are settled too.
-    The rest goes to the next round. No group holds more than ``head`` texts
+    The rest goes to the next round. No group holds more than twice ``head`` texts
     (plus the clusters of the leaf), and the outcome equals one pass in order.
     """
     leaves = cut(leaves.select(*LEAF, "template", "first_id"), "leaves")
@@ -204,10 +230,11 @@ def cluster_templates(leaves: DataFrame, st: float = SIMILARITY, head: int = 200
 
 
 def _first_per_leaf(texts: DataFrame, head: int) -> DataFrame:
-    order = Window.partitionBy(*LEAF).orderBy("first_id")
-    return (
-        texts.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= head).drop("_r")
-    )
+    """The first texts of every leaf: blocks of ids until ``head`` is reached, at most two heads."""
+    blocked = texts.withColumn("_block", block_of("first_id", head))
+    counts = blocked.groupBy(*LEAF, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = with_offsets(counts, LEAF, ["_block"], "_n", "_before").filter(F.col("_before") < head)
+    return blocked.join(before.select(*LEAF, "_block"), [*LEAF, "_block"], "left_semi").drop("_block")
 
 
 def _cluster_heads(texts: DataFrame, state: DataFrame | None, st: float) -> DataFrame:
@@ -221,7 +248,7 @@ def _cluster_heads(texts: DataFrame, state: DataFrame | None, st: float) -> Data
     def run(group: pd.DataFrame) -> pd.DataFrame:
         clusters = _load(group, st)
         todo = group[group.kind == "text"].sort_values("first_id").copy()
-        todo["seq"] = [clusters.add(t.split(" ")) for t in todo.template]
+        todo["seq"] = clusters.settle(todo.template)
         todo["founder"] = [clusters.founders[i] for i in todo.seq]
         return pd.concat([todo, _dump(group, clusters)], ignore_index=True)
 
@@ -244,31 +271,26 @@ def _probe(texts: DataFrame, state: DataFrame, st: float, head: int) -> DataFram
     def run(group: pd.DataFrame) -> pd.DataFrame:
         clusters = _load(group, st)
         todo = group[group.kind == "text"].copy()
-        found = [clusters.changes(t.split(" ")) for t in todo.template]
-        todo["seq"] = [at for at, _ in found]
-        todo["founder"] = [clusters.founders[at] if at >= 0 else None for at, _ in found]
-        todo["moves"] = [moves for _, moves in found]
+        todo["seq"], todo["moves"] = clusters.probe(todo.template)
+        todo["founder"] = [clusters.founders[at] if at >= 0 else None for at in todo.seq]
         return todo.drop(columns=["_slice"])
 
     return rows.groupBy(*LEAF, "_slice").applyInPandas(run, _STEP + ", moves boolean")
 
 
-def _load(group: pd.DataFrame, st: float) -> LeafClusters:
-    clusters = LeafClusters(st)
-    for row in group[group.kind == "state"].sort_values("seq").itertuples():
-        clusters.templates.append(row.template.split(" "))
-        clusters.founders.append(row.founder)
-    return clusters
+def _load(group: pd.DataFrame, st: float) -> LeafMatcher:
+    state = group[group.kind == "state"].sort_values("seq")
+    return LeafMatcher(st, state.template, state.founder)
 
 
-def _dump(group: pd.DataFrame, clusters: LeafClusters) -> pd.DataFrame:
+def _dump(group: pd.DataFrame, clusters: LeafMatcher) -> pd.DataFrame:
     first = group.iloc[0]
-    n = len(clusters.templates)
+    n = clusters.size
     return pd.DataFrame(
         {
             "dataset": [first.dataset] * n, "n_tokens": [first.n_tokens] * n,
             "key1": [first.key1] * n, "key2": [first.key2] * n, "kind": ["state"] * n,
-            "template": [" ".join(t) for t in clusters.templates], "first_id": [0] * n,
+            "template": clusters.templates, "first_id": [0] * n,
             "founder": clusters.founders, "seq": range(n),
         }
     )

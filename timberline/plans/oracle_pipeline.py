@@ -177,6 +177,28 @@ LEFT JOIN (SELECT {keys}, tok, row_number() OVER (PARTITION BY {keys} ORDER BY f
 cte("leaf1", _route("texts", "dataset, n_tokens", 1, "key1"), "texts")
 cte("leaves", _route("leaf1", "dataset, n_tokens, key1", 2, "key2"), "leaf1")
 
+# Clusters of every leaf, one text per step in order of first id. State: templates and founders as lists.
+cte("sequence", """
+SELECT *, row_number() OVER (PARTITION BY dataset, n_tokens, key1, key2 ORDER BY first_id) AS step FROM leaves""", "leaves")
+_SHARED = "list_sum(list_transform(range(1, len(s.toks) + 1), lambda i: CASE WHEN s.toks[i] = c[i] AND s.toks[i] <> '<*>' THEN 1 ELSE 0 END))"
+_MERGED = "list_transform(range(1, len(s.toks) + 1), lambda i: CASE WHEN s.toks[i] = c[i] THEN c[i] ELSE '<*>' END)"
+cte("walk", f"""
+SELECT * FROM (WITH RECURSIVE walk AS (
+ SELECT dataset, n_tokens, key1, key2, step, template, 1 AS at, [toks] AS now, [template] AS founders FROM sequence WHERE step = 1
+ UNION ALL
+ SELECT dataset, n_tokens, key1, key2, step, template, CASE WHEN joins THEN best ELSE len(now) + 1 END,
+  CASE WHEN joins THEN list_transform(now, lambda c, k: CASE WHEN k = best THEN merged ELSE c END) ELSE list_append(now, toks) END,
+  CASE WHEN joins THEN founders ELSE list_append(founders, template) END
+ FROM (SELECT *, shared[best] / n_tokens >= 0.5 AS joins, list_transform([now[best]], lambda c: {_MERGED.replace("s.toks", "toks")})[1] AS merged
+  FROM (SELECT *, list_position(shared, list_max(shared)) AS best
+   FROM (SELECT s.dataset, s.n_tokens, s.key1, s.key2, s.step, s.template, s.toks, w.now, w.founders, list_transform(w.now, lambda c: {_SHARED}) AS shared
+    FROM walk w JOIN sequence s ON s.dataset = w.dataset AND s.n_tokens = w.n_tokens AND s.key1 = w.key1 AND s.key2 = w.key2 AND s.step = w.step + 1))))
+ SELECT * FROM walk)""", "sequence")
+cte("clustered", """
+SELECT w.dataset, w.template, l.founders[w.at] AS founder, array_to_string(l.now[w.at], ' ') AS cluster_template
+FROM walk w JOIN (SELECT dataset, n_tokens, key1, key2, arg_max(now, step) AS now, arg_max(founders, step) AS founders FROM walk GROUP BY 1, 2, 3, 4) l
+USING (dataset, n_tokens, key1, key2)""", "walk")
+
 # --- retrieval ---------------------------------------------------------------
 def passage_blocks(p: str, source: str) -> None:
     cte(f"ordered{p}", f"""

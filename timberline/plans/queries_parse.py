@@ -264,7 +264,8 @@ def template_similarity(t):
     return T.similar_templates(t.leaves)
 
 
-@query("template_cluster")
+@query("template_cluster", chain("""
+SELECT dataset, template, substr(md5(founder), 1, 10) AS template_id, cluster_template FROM clustered""", "clustered"))
 def template_cluster(t):
     found = T.cluster_templates(t.leaves)
     return found.select(

@@ -24,7 +24,7 @@ from timberline.operators.incremental import with_identity
 from timberline.operators.normalize import normalize
 from timberline.operators.ordering import number_in_order, with_offsets
 from timberline.operators.scoring import score_core, score_stateless
-from timberline.operators.templates import SIMILARITY, LeafClusters
+from timberline.operators.templates import SIMILARITY, LeafMatcher
 from timberline.sources.parquet import append_events, save_events, to_stored
 from timberline.sources.text import number_lines, path_exists, valid_text
 
@@ -205,19 +205,16 @@ def stream_templates(events: DataFrame, st: float = SIMILARITY) -> DataFrame:
     )
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        clusters = LeafClusters(st)
-        if state.exists:
-            templates, founders = state.get
-            clusters.templates = [t.split(" ") for t in templates]
-            clusters.founders = list(founders)
+        clusters = LeafMatcher(st, *state.get) if state.exists else LeafMatcher(st)
         rows = pd.concat(list(batches)).sort_values("id")
-        at = [clusters.add(t.split(" ")) for t in rows.template]
-        state.update(([" ".join(t) for t in clusters.templates], clusters.founders))
+        at = clusters.settle(rows.template)
+        templates = clusters.templates
+        state.update((templates, clusters.founders))
         yield pd.DataFrame(
             {
                 "dataset": rows.dataset.to_numpy(), "template": rows.template.to_numpy(),
                 "founder": [clusters.founders[i] for i in at],
-                "cluster_template": [" ".join(clusters.templates[i]) for i in at],
+                "cluster_template": [templates[i] for i in at],
             }
         )
 
