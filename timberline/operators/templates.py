@@ -296,6 +296,16 @@ def _dump(group: pd.DataFrame, clusters: LeafMatcher) -> pd.DataFrame:
     )
 
 
+def mine_templates(events: DataFrame, st: float = SIMILARITY) -> DataFrame:
+    """Events with the templates of their clusters: masked, routed, clustered and joined back.
+
+    Scores, runs, sequences and incidents of these events are those of mined
+    templates. Runs jobs while the plan is made.
+    """
+    clustered = cut(cluster_templates(template_leaves(masked_texts(events)), st), "clustered")
+    return with_cluster_templates(events, clustered)
+
+
 def with_cluster_templates(events: DataFrame, clustered: DataFrame) -> DataFrame:
     """Replace the one-per-text template of events by the template of its cluster."""
     mapping = clustered.select(

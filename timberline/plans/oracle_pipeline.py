@@ -146,15 +146,19 @@ FROM (SELECT *, {half_up("anomalies_count * 15.0::DOUBLE", 1)} AS manual_sec, {h
  JOIN (SELECT dataset, count(*) AS incidents_count FROM incidents GROUP BY 1) USING (dataset))""", "scored", "incidents")
 
 # --- sequences ---------------------------------------------------------------
-cte("sessions", f"SELECT dataset, id, template_id, {SESSION} AS session_id FROM parsed", "parsed")
-cte("pairs", """
+def sequence_blocks(p: str, source: str) -> None:
+    cte(f"sessions{p}", f"SELECT dataset, id, template_id, {SESSION} AS session_id FROM {source}", source)
+    cte(f"pairs{p}", f"""
 SELECT * FROM (SELECT dataset, session_id, lag(id) OVER w AS log_id_a, id AS log_id_b, lag(template_id) OVER w AS t1, template_id AS t2
-FROM sessions WINDOW w AS (PARTITION BY dataset, session_id ORDER BY id)) WHERE log_id_a IS NOT NULL""", "sessions")
-cte("trans", "SELECT dataset, t1, t2, count(*) AS n FROM pairs GROUP BY 1, 2, 3", "pairs")
-cte("rare", f"""
-SELECT p.*, {half_up("n / total", 3)} AS probability FROM pairs p JOIN (
- SELECT *, (sum(n) OVER (PARTITION BY dataset, t1))::BIGINT AS total FROM trans) USING (dataset, t1, t2)
-WHERE total >= 3 AND n / total < 0.15::DOUBLE""", "pairs", "trans")
+FROM sessions{p} WINDOW w AS (PARTITION BY dataset, session_id ORDER BY id)) WHERE log_id_a IS NOT NULL""", f"sessions{p}")
+    cte(f"trans{p}", f"SELECT dataset, t1, t2, count(*) AS n FROM pairs{p} GROUP BY 1, 2, 3", f"pairs{p}")
+    cte(f"rare{p}", f"""
+SELECT p.*, {half_up("n / total", 3)} AS probability FROM pairs{p} p JOIN (
+ SELECT *, (sum(n) OVER (PARTITION BY dataset, t1))::BIGINT AS total FROM trans{p}) USING (dataset, t1, t2)
+WHERE total >= 3 AND n / total < 0.15::DOUBLE""", f"pairs{p}", f"trans{p}")
+
+
+sequence_blocks("", "parsed")
 cte("session_sums", """
 SELECT dataset, session_id, count(*) AS event_count, min(id) AS first_log_id, max(id) AS last_log_id, count(DISTINCT template_id) AS n_templates
 FROM sessions GROUP BY 1, 2""", "sessions")
@@ -199,6 +203,14 @@ SELECT w.dataset, w.template, l.founders[w.at] AS founder, array_to_string(l.now
 FROM walk w JOIN (SELECT dataset, n_tokens, key1, key2, arg_max(now, step) AS now, arg_max(founders, step) AS founders FROM walk GROUP BY 1, 2, 3, 4) l
 USING (dataset, n_tokens, key1, key2)""", "walk")
 
+# Events carrying the template of their cluster, and what follows from it.
+cte("parsed_mined", """
+SELECT p.* REPLACE (coalesce(substr(md5(c.founder), 1, 10), p.template_id) AS template_id, coalesce(c.cluster_template, p.template) AS template)
+FROM parsed p LEFT JOIN clustered c USING (dataset, template)""", "parsed", "clustered")
+score_blocks("_mined", "parsed_mined")
+correlate_blocks("_mined")
+sequence_blocks("_mined", "parsed_mined")
+
 # --- retrieval ---------------------------------------------------------------
 def passage_blocks(p: str, source: str) -> None:
     cte(f"ordered{p}", f"""

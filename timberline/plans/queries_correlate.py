@@ -34,6 +34,11 @@ def template_rarity(t):
     return SC.template_rarity(t.events).select("dataset", "template_id", "n", "total", six("share"), six("rarity"))
 
 
+@query("mined_rarity", chain(f"SELECT dataset, template_id, n, total, {six_sql('share')}, {six_sql('rarity')} FROM rarity_mined", "rarity_mined"))
+def mined_rarity(t):
+    return SC.template_rarity(t.mined).select("dataset", "template_id", "n", "total", six("share"), six("rarity"))
+
+
 @query("burst_buckets", chain(f"SELECT dataset, bucket::BIGINT AS bucket, n, {six_sql('mean')}, {six_sql('std')}, {six_sql('z')} FROM buckets", "buckets"))
 def burst_buckets(t):
     return SC.burst_buckets(t.events).select("dataset", F.col("bucket").cast("long").alias("bucket"), "n", six("mean"), six("std"), six("z"))
@@ -114,6 +119,12 @@ def correlate_incidents(t):
     return C.correlate(SC.score_core(t.events)).members.select("dataset", "id", "incident_id")
 
 
+@query("mined_incidents", chain("SELECT dataset, id, incident_id FROM members_mined", "members_mined"))
+def mined_incidents(t):
+    """The whole way on mined templates: cluster, score, correlate."""
+    return C.correlate(SC.score_core(t.mined)).members.select("dataset", "id", "incident_id")
+
+
 @query("correlate_all", chain("SELECT id, incident_id FROM members_all", "members_all"))
 def correlate_all(t):
     return C.correlate(t.all_scored).members.select("id", "incident_id")
@@ -227,6 +238,11 @@ def rare_transitions(t):
     return Q.rare_transitions(t.pairs)
 
 
+@query("mined_transitions", chain("SELECT dataset, session_id, log_id_a, log_id_b, t1, t2, probability FROM rare_mined", "rare_mined"))
+def mined_transitions(t):
+    return Q.rare_transitions(Q.transitions(Q.entity_sessions(t.mined)))
+
+
 cte("journeys", """
 SELECT * FROM (SELECT session_id, lag(id) OVER w AS log_id_a, id AS log_id_b, lag(template_id) OVER w AS t1, template_id AS t2
 FROM (SELECT p.id, p.template_id, 'account:' || e.user_id AS session_id FROM all_parsed p JOIN events e ON e.event_id = p.id - 1)

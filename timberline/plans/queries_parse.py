@@ -278,6 +278,11 @@ def template_signature(t):
     return t.events.select("dataset", "template", "template_id").distinct()
 
 
+@query("mined_catalog", chain("SELECT dataset, template_id, min_by(template, id) AS template, count(*) AS size, min(id) AS first_log_id FROM parsed_mined GROUP BY 1, 2", "parsed_mined"))
+def mined_catalog(t):
+    return T.template_catalog(t.mined)
+
+
 @query("template_catalog", chain("SELECT dataset, template_id, min_by(template, id) AS template, count(*) AS size, min(id) AS first_log_id FROM parsed GROUP BY 1, 2", "parsed"))
 def template_catalog(t):
     return T.template_catalog(t.events)

@@ -127,6 +127,10 @@ class Tables:
     def pairs(self) -> DataFrame:
         return cut(Q.transitions(self.sessions), "pairs")
 
+    @cached_property
+    def mined(self) -> DataFrame:
+        return cut(T.mine_templates(self.events), "mined")
+
     @cached_property
     def leaves(self) -> DataFrame:
         return cut(T.template_leaves(T.masked_texts(self.events)), "leaves")
