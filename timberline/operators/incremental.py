@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -9,7 +11,7 @@ from pyspark.sql import Window
 from timberline.functions.parsing import event_identity
 from timberline.functions.text import strip
 from timberline.operators.correlate import SLACK, incident_entities, incident_services
-from timberline.operators.ordering import BLOCK, number_densely
+from timberline.operators.ordering import BLOCK, number_densely, number_in_order
 from timberline.session import cut
 
 HOUR = 3600.0
@@ -28,9 +30,9 @@ def unseen_lines(lines: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.join(known.select("event_id"), "event_id", "left_anti")
 
 
-def continue_ids(lines: DataFrame, high_water: DataFrame, order: str = "source_line", width: int = BLOCK) -> DataFrame:
-    """Dense ids after the highest stored one; ``high_water(dataset, last_id)``."""
-    numbered = number_densely(lines.drop("id"), ["dataset"], order, "_n", 1, width)
+def continue_ids(lines: DataFrame, high_water: DataFrame, order: Sequence[str] = ("source_id", "source_line")) -> DataFrame:
+    """Dense ids after the highest stored one, by source and line; ``high_water(dataset, last_id)``."""
+    numbered = number_in_order(lines.drop("id"), ["dataset"], [F.asc(name) for name in order], "_n")
     return numbered.join(high_water, "dataset", "left").withColumn(
         "id", F.col("_n") + F.coalesce("last_id", F.lit(0))
     ).drop("_n", "last_id")

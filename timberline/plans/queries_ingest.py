@@ -77,20 +77,6 @@ def template_vs_truth(t):
     return templates_vs_truth(t.events, truth)
 
 
-@query("file_inventory")
-def file_inventory(t):
-    return CO.list_bulk_files(t.spark, t.text_dir).select("name", "bytes")
-
-
-@query("corpus_inventory")
-def corpus_inventory(t):
-    key = F.regexp_extract("path", r"dataset=([^/]+)/", 1)
-    files = CO.list_bulk_files(t.spark, t.text_dir).select(
-        F.when(key == "syslog", "linux").otherwise(key).alias("key"), "bytes"
-    )
-    return CO.corpus_inventory(t.spark, files)
-
-
 _STORED = """
 SELECT dataset, id, source_id, source_line, event_key AS event_id, timestamp, timestamp_epoch, level, service, host,
  coalesce(pid, '') AS pid, message, template_id, template, array_to_string(params, '|') AS params,
@@ -163,7 +149,25 @@ def storage_stats(t):
     return PQ.storage_stats(TX.raw_bytes(t.events), t.spark, path)
 
 
-@query("amplify_corpus")
+@query("storage_rows", chain("SELECT dataset, count(*) AS row_count, sum(strlen(raw))::BIGINT AS raw_bytes, true AS stored FROM parsed GROUP BY 1", "parsed"))
+def storage_rows(t):
+    """The part of the storage statistics that does not depend on a file format."""
+    stats = storage_stats(t)
+    return stats.select("dataset", "row_count", "raw_bytes", (F.col("binary_bytes") > 0).alias("stored"))
+
+
+def _pick(size: int, salt: str) -> str:
+    return f"(('0x' || substr(md5(n || ':{salt}'), 1, 8))::BIGINT % {size})"
+
+
+@query("amplify_corpus", chain(rf"""
+SELECT dataset, n, CASE WHEN contains(l2, 'R0') THEN regexp_replace(l2, 'R\d{{2}}-M\d-N\w-C:J\d{{2}}-U\d{{2}}',
+  'R' || lpad((node % 16)::VARCHAR, 2, '0') || '-M' || (node % 4) || '-N' || (node % 8) || '-C:J' || lpad((node * 7 % 16)::VARCHAR, 2, '0')
+  || '-U' || lpad((node * 5 % 16)::VARCHAR, 2, '0'), 'g') ELSE l2 END AS line
+FROM (SELECT *, CASE WHEN contains(l1, 'req-') THEN regexp_replace(l1, 'req-[0-9a-fA-F-]+', 'req-' || (request * 31 + 10000000) || '-' || (request % 9000 + 1000), 'g') ELSE l1 END AS l2
+ FROM (SELECT *, CASE WHEN contains(line, 'blk_') THEN regexp_replace(line, 'blk_-?\d+', 'blk_' || (block * 17 + 1000000000000000), 'g') ELSE line END AS l1
+  FROM (SELECT *, CASE WHEN n % 10 < 7 THEN (n // 10) % 500 ELSE {_pick(500, "block")} END AS block, {_pick(200, "request")} AS request, {_pick(100, "node")} AS node
+   FROM (SELECT dataset, line, unnest(range(3)) * count(*) OVER (PARTITION BY dataset) + row_number() OVER (PARTITION BY dataset ORDER BY id) - 1 AS n FROM log_lines))))""", "log_lines"))
 def amplify_corpus(t):
     return CO.expand_lines(t.lines, factor=3)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,7 +65,36 @@ def workspace(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{workspace(spark)}/timberline/{label}-{uuid.uuid4().hex}"
+    """A new folder for one table, below the application's own (and the current scratch) folder."""
+    scratch = spark.conf.get("spark.timberline.scratch", "")
+    return f"{_own_folder(spark)}/{scratch}{label}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{workspace(spark)}/timberline/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete all tables this application wrote on the way; results read from them are gone with them."""
+    _delete(spark, _own_folder(spark))
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside the block are deleted at its end: for micro-batches and other repeated work."""
+    before = spark.conf.get("spark.timberline.scratch", "")
+    name = f"{before}scratch-{uuid.uuid4().hex}/"
+    spark.conf.set("spark.timberline.scratch", name)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.timberline.scratch", before)
+        _delete(spark, f"{_own_folder(spark)}/{name}")
 
 
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -24,10 +24,9 @@ def list_domains() -> list[str]:
 
 
 def get_corpus(name: str) -> dict:
-    for key, label, domain, description, file, other in P.CORPORA:
+    for key, label, domain, file, other in P.CORPORA:
         if key == name.lower().strip():
-            return {"key": key, "name": label, "domain": domain, "description": description,
-                    "file": file, "other_file": other}
+            return {"key": key, "name": label, "domain": domain, "file": file, "other_file": other}
     raise KeyError(f"unknown corpus {name!r}; known: {', '.join(list_corpora())}")
 
 
@@ -50,11 +49,6 @@ def read_raw(
     return load_file(spark, require_path(spark, path), max_lines, get_corpus(name)["key"])
 
 
-def corpora_table(spark: SparkSession) -> DataFrame:
-    rows = [(c[0], c[1], c[2], c[3]) for c in P.CORPORA]
-    return spark.createDataFrame(rows, "key string, name string, domain string, description string")
-
-
 def list_bulk_files(spark: SparkSession, folder: str) -> DataFrame:
     """``name, bytes`` of the .log, .txt and .csv files; contents are never read."""
     require_path(spark, folder)
@@ -70,16 +64,6 @@ def list_bulk_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def corpus_inventory(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Known corpora with presence and size; ``files(key, bytes)``."""
-    sizes = files.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_files"))
-    return corpora_table(spark).join(sizes, "key", "left").select(
-        "key", "name", "domain", "description",
-        F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("bytes", F.lit(0)).alias("bytes"),
-        F.when(F.col("n_files") > 0, "READY").otherwise("MISSING").alias("status"),
-    )
-
-
 def _read_truth(
     spark: SparkSession, corrected: str | None, plain: str | None, use_corrected: bool, schema: str
 ) -> DataFrame:
@@ -122,7 +106,8 @@ def expand_lines(
     n = F.col("n")
 
     def pick(size: int, salt: str):
-        return F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(size))
+        digits = F.substring(F.md5(F.concat(n.cast("string"), F.lit(f":{salt}"))), 1, 8)
+        return F.conv(digits, 16, 10).cast("long") % size
 
     block = F.when(n % 10 < 7, F.floor(n / 10) % blocks).otherwise(pick(blocks, "block"))
     request = pick(requests, "request")

@@ -27,6 +27,7 @@ from timberline.operators.scoring import score_core, score_stateless
 from timberline.operators.templates import SIMILARITY, LeafMatcher
 from timberline.sources.parquet import append_events, save_events, to_stored
 from timberline.sources.text import number_lines, path_exists, valid_text
+from timberline.session import cut, scratch
 
 LINE_SCHEMA = "dataset string, dialect string, source_id string, source_line long, id long, line string"
 
@@ -254,11 +255,16 @@ def start_dedupe(lines: DataFrame, path: str, checkpoint: str, year: int | None
 
 
 def start_scored(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Score each micro-batch by its own statistics; stored scores never change."""
+    """Score each micro-batch by its own statistics; stored scores never change.
+
+    A batch is parsed once, into a scratch table that goes with the batch.
+    """
 
     def append(batch: DataFrame, _: int) -> None:
-        if batch.take(1):
-            save_events(score_core(batch), path, "append")
+        with scratch(batch.sparkSession):
+            batch = cut(batch, "batch")
+            if not batch.isEmpty():
+                save_events(score_core(batch), path, "append")
 
     return start_batches(events, append, checkpoint)
 
