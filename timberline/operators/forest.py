@@ -17,7 +17,6 @@ TREES = 50
 SAMPLE = 256
 SEED = 42
 LEAST_ROWS = 20
-MAX_DATASETS = 64
 
 _TREE = "dataset string, tree int, feature array<int>, split array<double>, below array<int>, above array<int>, path array<double>, psi int"
 
@@ -32,32 +31,29 @@ def average_path(n: float) -> float:
 
 
 def tree_samples(features: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """At most ``sample`` rows for each (dataset, tree), picked by hash.
+    """For each (dataset, tree) the ``sample`` rows of smallest hash of id and tree.
 
-    Large datasets deal the rows of smallest hash out to the trees; a hash
-    threshold first leaves a few times as many rows as are needed, so no task
-    ever ranks the dataset. Small datasets rank their rows per tree.
+    One rule for every size: a row names the trees whose hash of it lies below a
+    threshold that leaves about four samples per tree, and only those are ranked.
     """
-    need = trees * sample
     sizes = cut(features.groupBy("dataset").agg(F.count(F.lit(1)).alias("_n")), "sizes").filter(
         F.col("_n") >= LEAST_ROWS
     )
-    h = F.xxhash64("id", F.lit(seed))
-    df = features.join(sizes, "dataset").withColumn("_h", h)
-    unit = F.pmod(F.col("_h"), F.lit(1 << 40)) / float(1 << 40)
-    big = df.filter((F.col("_n") >= need) & (unit <= F.least(F.lit(1.0), F.lit(4.0 * need) / F.col("_n"))))
-    order = Window.partitionBy("dataset").orderBy("_h", "id")
-    big = (
-        big.withColumn("_r", F.row_number().over(order))
-        .filter(F.col("_r") <= need)
-        .withColumn("tree", ((F.col("_r") - 1) % trees).cast("int"))
-    )
-    small = df.filter(F.col("_n") < need).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    small = small.withColumn("_h", F.xxhash64("id", "tree", F.lit(seed)))
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("_n"))
+
+    def spot(tree):
+        return F.pmod(F.xxhash64("id", tree, F.lit(seed)), F.lit(1 << 40))
+
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    near = features.join(sizes, "dataset").withColumn("_share", share)
+    near = near.withColumn("tree", F.explode(F.filter(every, lambda k: spot(k) / float(1 << 40) <= F.col("_share"))))
     order = Window.partitionBy("dataset", "tree").orderBy("_h", "id")
-    small = small.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample)
-    columns = ["dataset", "tree", "id", *FEATURES]
-    return big.select(columns).unionByName(small.select(columns))
+    return (
+        near.withColumn("_h", spot(F.col("tree")))
+        .withColumn("_r", F.row_number().over(order))
+        .filter(F.col("_r") <= sample)
+        .select("dataset", "tree", "id", *FEATURES)
+    )
 
 
 def _grow(group: pd.DataFrame) -> pd.DataFrame:
@@ -126,38 +122,21 @@ def _as_arrays(row) -> tuple:
 def raw_scores(features: DataFrame, forest: DataFrame, width: int = 1 << 18) -> DataFrame:
     """``dataset, id, raw``.
 
-    Forests of up to MAX_DATASETS datasets (50 trees of at most 511 nodes each)
-    travel to the tasks and rows are scored where they are. Beyond that, trees
-    meet the rows of their dataset in id blocks of bounded size.
+    The trees of a dataset (50 of at most 511 nodes each) are a table; they meet
+    its rows in id blocks of bounded size, so neither passes through the driver.
     """
-    out = "dataset string, id long, raw double"
-    n = forest.select("dataset").distinct().limit(MAX_DATASETS + 1).count()
-    if n <= MAX_DATASETS:
-        trees: dict[str, list] = {}
-        for row in forest.orderBy("dataset", "tree").collect():
-            trees.setdefault(row.dataset, []).append(_as_arrays(row))
-
-        def run(batches):
-            for pdf in batches:
-                for dataset, part in pdf.groupby("dataset"):
-                    if dataset in trees:
-                        raw = _score(part[list(FEATURES)].to_numpy("float64"), trees[dataset])
-                        yield pd.DataFrame({"dataset": dataset, "id": part.id.to_numpy(), "raw": raw})
-
-        return features.mapInPandas(run, out)
-
-    rows = features.withColumn("_block", F.floor(F.col("id") / width))
-    blocks = rows.select("dataset", "_block").distinct()
-    spread = forest.join(blocks, "dataset")
+    rows = features.join(forest.select("dataset").distinct(), "dataset", "left_semi")
+    rows = rows.withColumn("_block", F.floor(F.col("id") / width))
+    blocks = rows.select(F.col("dataset").alias("_of"), F.col("_block").alias("_at")).distinct()
+    spread = forest.join(blocks, forest["dataset"] == blocks["_of"]).drop("dataset")
 
     def together(part: pd.DataFrame, grown: pd.DataFrame) -> pd.DataFrame:
-        if not len(part) or not len(grown):
-            return pd.DataFrame({"dataset": [], "id": [], "raw": []})
         arrays = [_as_arrays(row) for row in grown.sort_values("tree").itertuples()]
         raw = _score(part[list(FEATURES)].to_numpy("float64"), arrays)
-        return pd.DataFrame({"dataset": part.dataset, "id": part.id, "raw": raw})
+        return pd.DataFrame({"dataset": part.dataset.to_numpy(), "id": part.id.to_numpy(), "raw": raw})
 
-    return rows.groupBy("dataset", "_block").cogroup(spread.groupBy("dataset", "_block")).applyInPandas(together, out)
+    return rows.groupBy("dataset", "_block").cogroup(spread.groupBy("_of", "_at")).applyInPandas(
+        together, "dataset string, id long, raw double")
 
 
 def forest_scores(features: DataFrame) -> DataFrame:

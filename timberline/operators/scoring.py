@@ -128,8 +128,12 @@ FEATURES = ("severity_num", "share", "time_delta", "n_params", "keyword", "burst
 
 def feature_vector(events: DataFrame) -> DataFrame:
     """The six numbers per event the outlier model reads."""
-    df = with_time_delta(with_statistics(events))
-    return df.select(
+    return features_of(with_time_delta(with_statistics(events)))
+
+
+def features_of(statistics: DataFrame) -> DataFrame:
+    """The same numbers from events that carry their statistics and time steps already."""
+    return statistics.select(
         "dataset", "id",
         S.severity_number(F.col("level")).alias("severity_num"),
         "share",
@@ -158,9 +162,9 @@ def score_core(events: DataFrame, threshold: float = S.THRESHOLD) -> DataFrame:
     return _fuse(with_statistics(events), F.lit(0.0), threshold).drop("share", "rarity", "burst", "usable")
 
 
-def score_full(events: DataFrame, forest_scores: DataFrame, threshold: float = S.THRESHOLD) -> DataFrame:
-    """All signals; ``forest_scores`` holds ``dataset, id, iforest``."""
-    df = with_statistics(events).join(forest_scores, ["dataset", "id"], "left")
+def score_full(statistics: DataFrame, forest_scores: DataFrame, threshold: float = S.THRESHOLD) -> DataFrame:
+    """All signals; ``statistics`` are events with theirs, ``forest_scores`` holds ``dataset, id, iforest``."""
+    df = statistics.join(forest_scores, ["dataset", "id"], "left")
     return _fuse(df, F.coalesce("iforest", F.lit(0.0)), threshold).drop(
         "share", "rarity", "burst", "usable", "iforest"
     )

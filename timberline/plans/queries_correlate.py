@@ -11,6 +11,7 @@ from timberline.operators import incremental as I
 from timberline.operators import narrative as NA
 from timberline.operators import scoring as SC
 from timberline.operators import sequences as Q
+from timberline.operators.detect import detect
 from timberline.plans import oracle_pipeline as OP
 from timberline.plans.oracle_base import chain, cte, half_up, q
 from timberline.plans.registry import query
@@ -75,8 +76,7 @@ def anomaly_core_score(t):
 
 @query("anomaly_score")
 def anomaly_score(t):
-    forest = cut(FO.forest_scores(SC.feature_vector(t.events)), "forest-scores")
-    return SC.score_full(t.events, forest).select("dataset", "id", "anomaly_score", "is_anomaly")
+    return detect(t.events).select("dataset", "id", "anomaly_score", "is_anomaly")
 
 
 # --------------------------------------------------------------------------- #
