@@ -3,7 +3,10 @@
 Every pass gives a vector a key of concatenated random hashes (signs of random
 projections), orders all vectors of a label by it, and compares each with its
 ``window`` next neighbours. Close vectors share long prefixes and so stand close
-in some pass; pairs with a verified cosine are united across passes.
+in some pass; pairs with a verified cosine are united across passes. Blocks put out
+only links that join something new inside them. An exact step follows: inside each
+component all pairs are compared in blocks and counted, not put out, so the number
+of links does not depend on how many neighbours a window holds.
 
 Equal vectors of a label are one row from the start, so copies neither fill
 windows nor make pairs. The order is one range sort of (label, pass, key); ranks
@@ -19,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.common import part_offsets
+from timberline.llm.linking import Roots
 from timberline.operators.components import connected_components
-from timberline.session import new_path
+from timberline.session import cut, new_path
 
 PASSES = 24
 BITS = 48
@@ -47,22 +51,39 @@ def pass_keys(rows: np.ndarray, which: int, bits: int = BITS) -> np.ndarray:
     return (signs.astype(np.int64) << np.arange(bits - 1, -1, -1, dtype=np.int64)).sum(1)
 
 
-def cosine_links(ids: np.ndarray, rows: np.ndarray, own: np.ndarray, window: int, least: float):
-    """Pairs at most ``window`` apart with cosine >= least, the first of them an own row."""
-    unit = rows / np.sqrt((rows * rows).sum(1))[:, None]
-    out = []
-    for step in range(1, min(window, len(ids) - 1) + 1):
+def _cosine(a: np.ndarray, b: np.ndarray) -> float:
+    return (a @ b) / np.sqrt((a @ a) * (b @ b))
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.sqrt((rows * rows).sum(1))[:, None]
+
+
+def cosine_links(rows: np.ndarray, own: np.ndarray, window: int, least: float) -> list[tuple[int, int]]:
+    """Positions of pairs at most ``window`` apart with cosine >= least, the first an own row; enough to join all such."""
+    unit, roots, out = _unit(rows), Roots(list(range(len(rows)))), []
+    for step in range(1, min(window, len(rows) - 1) + 1):
         close = ((unit[:-step] * unit[step:]).sum(1) >= least - 1e-9) & own[:-step]
-        for k in np.flatnonzero(close):
-            a, b = rows[k], rows[k + step]
-            if (a @ b) / np.sqrt((a @ a) * (b @ b)) >= least:
-                out.append((ids[k], ids[k + step]))
+        for k in np.flatnonzero(close).tolist():
+            if roots.find(k) != roots.find(k + step) and _cosine(rows[k], rows[k + step]) >= least:
+                out.append((k, k + step))
+                roots.join(k, k + step)
     return out
 
 
+def linked_matrix(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` have cosine >= least; products near the limit are taken again one by one."""
+    product = _unit(a) @ _unit(b).T
+    linked = product >= least
+    for x, y in zip(*np.nonzero(np.abs(product - least) < 1e-9), strict=True):
+        linked[x, y] = _cosine(a[x], b[y]) >= least
+    return linked
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
                  least: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """``(id, n_links, component_id)`` per row, over pairs of equal, non-null label found with cosine >= ``least``.
+    """``(id, n_links, component_id)`` per row, over pairs of equal, non-null label with cosine >= ``least`` whose
+    components were found.
 
     Null, zero and empty vectors, those with null or non-finite components, and rows without label link with
     nothing: 0 links, their own id. Vectors of different lengths compare as if padded with zeros. Equal vectors
@@ -82,9 +103,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     nodes = spark.read.parquet(at)
     links = _links(nodes, least, passes, window)
 
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    roots = connected_components(links)
+    roots = cut(connected_components(links), "roots")
+    degree = _degrees(nodes, roots, least)
     placed = (nodes.join(degree, nodes["node"] == degree["a"], "left").drop("a")
               .join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left")
               .select("label", "vec", "least", "copies", F.coalesce("others", F.lit(0)).alias("others"),
@@ -97,8 +117,32 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                       F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _degrees(nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """``(a, others)``: rows linked with node ``a``, copies of others included. A task compares two blocks of a component."""
+    placed = nodes.select("node", "vec", "copies").join(roots, "node")
+    blocks = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    spread = placed.join(blocks, "root").select(
+        "root", "node", "vec", "copies", F.pmod(F.hash("node"), F.col("blocks")).alias("own"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tasks = spread.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "vec", "copies", "own")
+
+    def count(table: pa.Table) -> pa.Table:
+        node, copies, own, i, j = (table.column(c).to_numpy() for c in ("node", "copies", "own", "i", "j"))
+        rows, total = _matrix(table.column("vec").combine_chunks()), np.zeros(len(node), np.int64)
+        left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+        linked = linked_matrix(rows[left], rows[right], least)
+        if i[0] == j[0]:
+            np.fill_diagonal(linked, False)
+        else:
+            total[right] += linked.T @ copies[left]
+        total[left] += linked @ copies[right]
+        return pa.table({"a": pa.array(node), "n": pa.array(total)})
+
+    return tasks.groupBy("root", "i", "j").applyInArrow(count, "a long, n long").groupBy("a").agg(F.sum("n").alias("others"))
+
+
 def _links(nodes: DataFrame, least: float, passes: int, window: int) -> DataFrame:
-    """Written ``(a, b)``, a < b, each found pair once."""
+    """Written ``(a, b)``, a < b: links that joined something in their block."""
     spark = nodes.sparkSession
     kind = nodes.schema["label"].dataType.simpleString()
     row = f"label {kind}, pass int, sort_key long, node long, vec array<double>"
@@ -139,7 +183,7 @@ def _links(nodes: DataFrame, least: float, passes: int, window: int) -> DataFram
         vectors = _matrix(table.column("vec").combine_chunks())
         for high in range(1, len(place) + 1):
             if high == len(place) or place[high] != place[low]:
-                found += cosine_links(node[low:high], vectors[low:high], own[low:high], window, least)
+                found += [(node[low + x], node[low + y]) for x, y in cosine_links(vectors[low:high], own[low:high], window, least)]
                 low = high
         pairs = sorted({(int(min(p)), int(max(p))) for p in found})
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
