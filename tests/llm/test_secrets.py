@@ -90,3 +90,24 @@ def test_nothing_labelled_and_empty(spark, docs):
     model = S.fit(plain)
     assert model.secret is None and S.scan(plain, model).first().s.spans == ""
     assert S.scan(docs.limit(0), S.fit(docs.limit(0))).count() == 0
+
+
+def test_odd_background_does_not_shut_out_credentials():
+    """Upper-case words and digit runs in the background; credentials that neither class holds."""
+    rnd = random.Random(7)
+    syllables = ["er", "en", "tion", "ein", "lich", "sch", "ber", "al", "re", "on", "ment", "eux"]
+    words = ["".join(rnd.choice(syllables) for _ in range(7)) for _ in range(1300)]
+    words += [rnd.choice("456") + "".join(rnd.choice("0123456789") for _ in range(15)) for _ in range(300)] + ["LAAITIONELLEELLE", "ERSCHSCHBERBERTZ"]
+    rnd.shuffle(words)
+    model = S.learn([hexes(rnd, 40) for _ in range(131)], words)
+    fresh = [hexes(rnd, n) for n in (24, 31) for _ in range(300)]
+    assert sum(model.ratio(x) >= model.threshold for x in fresh) >= 0.9 * len(fresh)
+    assert sum(model.ratio(x) >= model.threshold for x in words) <= 0.01 * len(words)
+    marked = [w[:14] + str(rnd.randrange(10, 99)) for w in words if w.isalpha()] + ["LAAITIONELLEELLE2", "release2024candidate"]
+    assert sum(model.ratio(x) >= model.threshold for x in marked) <= 0.01 * len(marked)
+
+
+def test_unknown_steps_cost_the_same():
+    one, two = S.Automaton(["ab12"] * 50, symbols=30), S.Automaton(["word"] * 2000, symbols=30)
+    assert abs(one.score("ZZZZ") - two.score("ZZZZ")) < 1e-9
+    assert S.learn(["a1"], ["b"]).threshold < float("inf")

@@ -36,7 +36,10 @@ KINDS = ("assign", "access", "hex", "learned")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SAMPLE = 2_000
 ALPHA = 0.01
-MARGIN = 0.5
+#: Share of every step that goes to all symbols alike, known or not, in both automata.
+UNKNOWN = 0.05
+#: Quantiles of the held-out ratios of labelled values and of background between which the threshold lies.
+LOW, HIGH = 0.05, 0.99
 END = ""
 
 SPANS = "struct<n_assign:long,n_access:long,n_hex:long,base:string,spans:string>"
@@ -85,7 +88,8 @@ def candidate(token: str) -> bool:
 class Automaton:
     """A probabilistic deterministic automaton folded from a prefix tree of strings."""
 
-    def __init__(self, strings: list[str], alpha: float = ALPHA):
+    def __init__(self, strings: list[str], alpha: float = ALPHA, symbols: int | None = None):
+        """``symbols``: how many there are in all; automata to be compared need the same number."""
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]
         self.spread = sqrt(log(2 / alpha) / 2)
@@ -99,7 +103,7 @@ class Automaton:
                     self.count.append({})
             self.count[state][END] = self.count[state].get(END, 0) + 1
         self._fold()
-        self._finish(len({c for s in strings for c in s} | {END}))
+        self._finish(symbols or count_symbols(strings))
 
     def _fold(self) -> None:
         """Red states are final; each blue state (a child of a red one) merges into the first compatible red, or turns red."""
@@ -154,25 +158,25 @@ class Automaton:
         place = {s: k for k, s in enumerate(self.states)}
         self.table = []
         for state in self.states:
-            total = sum(self.count[state].values()) + symbols + 1
-            logs = {c: log((n + 1) / total) for c, n in self.count[state].items()}
-            self.table.append((logs, log(1 / total), {c: place[s] for c, s in self.next[state].items()}))
-        self.unseen = log(1 / (symbols + 1))
+            total = sum(self.count[state].values())
+            logs = {c: log((1 - UNKNOWN) * n / total + UNKNOWN / symbols) for c, n in self.count[state].items()}
+            self.table.append((logs, {c: place[s] for c, s in self.next[state].items()}))
+        self.unknown = log(UNKNOWN / symbols)
         del self.next, self.count
 
     def score(self, string: str) -> float:
-        """Log-likelihood; past an unknown step every character costs the same."""
+        """Log-likelihood; an unknown step has one price in all states and leads to the first one."""
         state, total = 0, 0.0
         for char in string:
-            if state is None:
-                total += self.unseen
-                continue
-            logs, other, step = self.table[state]
-            total += logs.get(char, other)
-            state = step.get(char)
-        if state is not None:
-            total += self.table[state][0].get(END, self.table[state][1])
-        return total
+            logs, step = self.table[state]
+            total += logs.get(char, self.unknown)
+            state = step.get(char, 0)
+        return total + self.table[state][0].get(END, self.unknown)
+
+
+def count_symbols(strings: list[str]) -> int:
+    """Characters, the end, and one for all others."""
+    return len({c for s in strings for c in s}) + 2
 
 
 @dataclass(frozen=True)
@@ -190,8 +194,8 @@ class SecretModel:
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> SecretModel:
     """Automata from at most ``sample`` distinct labelled values and background tokens of the documents.
 
-    The threshold lies a margin above the background's highest ratio or at the lowest tenth of the labelled
-    ratios, whichever is higher, so that what looks like background stays out.
+    The threshold lies midway between the lowest twentieth of the labelled values and the highest hundredth of the
+    background, by ratios held out: each half of the values is scored by automata of the other.
     """
     def gather(batches):
         for batch in batches:
@@ -211,10 +215,30 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Secret
     secret, other = chosen
     if not secret or not other:
         return SecretModel()
-    model = SecretModel(Automaton(secret), Automaton(other))
-    ranked = sorted(map(model.ratio, secret))
-    highest = max(map(model.ratio, other))
-    return SecretModel(model.secret, model.background, max(ranked[len(ranked) // 10], highest + MARGIN))
+    return learn(secret, other)
+
+
+def learn(secret: list[str], other: list[str]) -> SecretModel:
+    """The model of labelled values and background tokens, both in random order and not empty."""
+    symbols = count_symbols(secret + other)
+
+    def model(one: list[str], two: list[str]) -> SecretModel:
+        return SecretModel(Automaton(one, symbols=symbols), Automaton(two, symbols=symbols))
+
+    high, low = [], []
+    for (fit_one, out_one), (fit_two, out_two) in zip(_halves(secret), _halves(other), strict=True):
+        half = model(fit_one, fit_two)
+        high += map(half.ratio, out_one)
+        low += map(half.ratio, out_two)
+    threshold = (sorted(high)[int(len(high) * LOW)] + sorted(low)[int(len(low) * HIGH)]) / 2
+    whole = model(secret, other)
+    return SecretModel(whole.secret, whole.background, threshold)
+
+
+def _halves(strings: list[str]) -> list[tuple[list[str], list[str]]]:
+    """Both ways to fit on a half and score the other; a single value is fitted and scored itself."""
+    one, two = strings[::2], strings[1::2] or strings
+    return [(one, two), (two, one)]
 
 
 # --- scan -------------------------------------------------------------------------------------------------------
