@@ -93,3 +93,25 @@ def test_collision_rounds(spark, monkeypatch):
     monkeypatch.setattr(V, "surrogate", lambda key, kind, norm, attempt: F.pmod(F.hash(norm, attempt), F.lit(8)).cast("string"))
     got = V.distinct_surrogates(rows, KEY).collect()
     assert len({r.core for r in got}) == 6 and "0" not in {r.core for r in got}
+
+
+def replaced(spark, texts):
+    """Texts after the operator, and the counts, in order."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = sorted(V.pseudonymize(rows, KEY).collect(), key=lambda r: r.doc.doc_id)
+    return [(r.text, r.n) for r in out]
+
+
+def test_numbers_before_an_entity_do_not_hide_it(spark):
+    card, fours, amex = "4785380592391139", "4785 3805 9239 1139", "3782 822463 10005"
+    cases = [("Room 1204 ", "415-555-0123", "", "phone"), ("2023 ", "078-05-1120", "", "ssn"), ("order 77 ", card, " of 12", "card"),
+             ("ID 12345 ", "078-05-1120", "", "ssn"), ("1204 ", fours, " 2023", "card"), ("1204 ", amex, "", "card"),
+             ("1111 2222 3333 ", amex, " 1", "card"), ("12 ", fours.replace(" ", "-"), " 415", "card"), ("x 1204 5 ", fours, ", y", "card")]
+    for (before, entity, after, kind), (text, n) in zip(cases, replaced(spark, ["".join(c[:3]) for c in cases]), strict=True):
+        assert n == {kind: 1}, (before, entity, n)
+        assert text.startswith(before) and text.endswith(after) and entity not in text
+        assert kind != "card" or luhn(text[len(before) : len(before) + len(entity)])
+    two = [f"{fours} {fours}", f"1204 {fours} 415-555-0123", f"{fours} 078-05-1120", "1204 1205 1206 1207 1209 stays", "4785 3805 9239 1138"]
+    got = replaced(spark, two)
+    assert [n for _, n in got] == [{"card": 2}, {"card": 1, "phone": 1}, {"card": 1, "ssn": 1}, {}, {}]
+    assert got[3][0] == two[3] and got[4][0] == two[4] and got[0][0][:19] == got[0][0][20:] != fours

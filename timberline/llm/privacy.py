@@ -34,7 +34,10 @@ ENDINGS = {"given_m": ("n", "н", "ν"), "given_f": ("a", "я", "α"), "given_n"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
-CARD = r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+_AMEX = r"[0-9]{4}[ -](?:[0-9]{6}[ -][0-9]{4,5}|[0-9]{5}[ -][0-9]{6}|[0-9]{4}[ -][0-9]{5})(?![0-9])"
+#: Runs of groups of four, which may hold other numbers before and after a card; a short last group if no number follows it.
+FOURS = rf"[0-9]{{4}}(?:[ -](?!{_AMEX})[0-9]{{4}}(?![0-9])){{3,}}(?:[ -][0-9]{{1,3}}(?![ -]?[0-9]))?"
+CARD = rf"(?<![0-9+])(?:[0-9]{{13,19}}|[0-9]{{6}}[ -][0-9]{{13}}|{_AMEX}|{FOURS})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = (r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
          r"|(?<![0-9A-Za-z+])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
@@ -78,6 +81,41 @@ def normal_form(kind: Column, raw: Column) -> Column:
             .when(kind.isin("card", "ssn"), _digits(raw)).when(kind == "ip", raw).otherwise(F.lower(raw)))
 
 
+SEGMENTS = "array<struct<lit:string,kind:string,norm:string,raw:string>>"
+
+
+def _cards(gap: Column, run: Column) -> Column:
+    """Segments of a run of groups of four: from the left, each card of four groups, or of the last four and a short one.
+
+    Of overlapping ones that pass by chance, one that starts like an issuer's comes first.
+    """
+    def valid(card: Column) -> Column:
+        return luhn_sum(_digits(card), 1) % 10 == 0
+
+    def issued(card: Column) -> Column:
+        return (F.length(card) == 19) & F.regexp_like(card, F.lit("^(?:[3-6]|2[2-7])")) & valid(card)
+
+    def step(done: Column, at: Column) -> Column:
+        used = done["used"]
+        four, rest = F.substr(run, at + 1, F.lit(19)), F.substr(run, at + 1, F.lit(99))
+        later = F.exists(F.array(*map(F.lit, (5, 10, 15))), lambda by: issued(F.substr(run, at + by + 1, F.lit(19))))
+        card = F.when((at >= used) & (F.length(four) == 19) & valid(four) & (issued(four) | ~later), four).when(
+            (at >= used) & F.length(rest).between(21, 23) & valid(rest), rest)
+        lit = F.concat(F.when(used == 0, gap).otherwise(""), F.substr(run, used + 1, at - used))
+        found = F.array(F.struct(lit.alias("lit"), F.lit("card").alias("kind"), _digits(card).alias("norm"), card.alias("raw")))
+        return F.when(card.isNull(), done).otherwise(F.struct((at + F.length(card)).alias("used"),
+                                                              F.concat(done["found"], found.cast(SEGMENTS)).alias("found")))
+
+    def finish(done: Column) -> Column:
+        used = done["used"]
+        last = F.struct(F.when(used == 0, gap).otherwise("").alias("lit"), F.lit(None).cast("string").alias("kind"),
+                        F.lit(None).cast("string").alias("norm"), F.substr(run, used + 1, F.length(run)).alias("raw"))
+        return F.concat(done["found"], F.array(last).cast(SEGMENTS))
+
+    start = F.struct(F.lit(0).alias("used"), F.array().cast(SEGMENTS).alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.length(run) - 1, F.lit(5)), start, step, finish)
+
+
 def _segments(text: Column) -> Column:
     """The text as literals and entities: ``array<struct<lit, kind, norm, raw>>``, each literal before its entity."""
     gaps, raws = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
@@ -93,7 +131,9 @@ def _segments(text: Column) -> Column:
         given = F.when(word.isin(*MALE), "given_m").when(word.isin(*FEMALE), "given_f").otherwise("given_n")
         single = F.array(seg(F.concat(gap, title), F.lit("family"), first))
         double = F.array(seg(F.concat(gap, title), given, first), seg(F.lit(" "), F.lit("family"), second))
-        return F.when(kind == "name", F.when(second == "", single).otherwise(double)).otherwise(F.array(seg(gap, kind, raw)))
+        mixed = (F.length(raw) > 19) & F.regexp_like(raw, F.lit(rf"^(?:{FOURS})$"))
+        return (F.when(kind == "name", F.when(second == "", single).otherwise(double)).when(mixed, _cards(gap, raw))
+                .otherwise(F.array(seg(gap, kind, raw))))
 
     tail = F.struct(F.get(gaps, F.size(raws)).alias("lit"), F.lit(None).cast("string").alias("kind"),
                     F.lit(None).cast("string").alias("norm"), F.lit("").alias("raw"))
