@@ -115,3 +115,18 @@ def test_numbers_before_an_entity_do_not_hide_it(spark):
     got = replaced(spark, two)
     assert [n for _, n in got] == [{"card": 2}, {"card": 1, "phone": 1}, {"card": 1, "ssn": 1}, {}, {}]
     assert got[3][0] == two[3] and got[4][0] == two[4] and got[0][0][:19] == got[0][0][20:] != fours
+
+
+def test_surrogates_grow_when_their_space_is_full(spark, monkeypatch):
+    """Two syllables make eight short names, and addresses of one letter 676: fewer than the entities."""
+    monkeypatch.setitem(V.SYLLABLES, "latin", ("ba", "be"))
+    shape = spark.range(9).select(*(V.surrogate(KEY, F.lit(k), F.lit(n), F.col("id").cast("int")).alias(k) for k, n in (("family", "smith"), ("email", "a@b.co"))))
+    rows = shape.collect()
+    assert max(len(r.family) for r in rows) > 7 and max(len(r.email) for r in rows) > 6  # else the next lines never end
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    entities = [("family", "x" + letters[k]) for k in range(20)] + [("email", f"{a}@{b}.co") for a in letters for b in letters]
+    got = V.distinct_surrogates(spark.createDataFrame(entities, "kind string, norm string"), KEY).collect()
+    assert len({(r.kind, r.core) for r in got}) == len(entities) and not {(r.kind, r.core) for r in got} & set(entities)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.co", r.core) for r in got if r.kind == "email")
+    long = spark.range(1).select(V.in_format(F.lit("email"), F.lit("A@B.co"), F.lit("qxx@r.co")).alias("x")).first().x
+    assert long == "Qxx@R.co"

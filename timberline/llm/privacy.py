@@ -46,6 +46,8 @@ _TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 NAME = rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?(?![\p{{L}}])"
 NAME_PARTS = rf"^((?:{_TITLES})\.? )({_NAME})(?: ({_NAME}))?$"
+#: Names and addresses get one more syllable or letter after so many attempts, so that no number of entities fills them.
+GROWS = 2
 ANY = f"{EMAIL}|{IP}|{SSN}|{PHONE}|{CARD}|{NAME}"
 TYPES = ("email", "ip", "ssn", "phone", "card", "name")
 #: A text without these holds no entity.
@@ -154,8 +156,12 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     def digit(i):
         return (byte(i) % 10).cast("string")
 
+    more = F.floor(attempt / GROWS).cast("int")  # letters of an address or syllables of a name beyond the shape
     email = each(norm, lambda c, i: F.when(i >= F.length(norm) - F.length(F.substring_index(norm, ".", -1)), c)
                  .when(c.between("a", "z"), F.chr(97 + byte(i) % 26)).when(c.between("0", "9"), digit(i)).otherwise(c))
+    longer = F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: F.chr(97 + byte(F.length(norm) + i) % 26))
+    email = F.when(more > 0, F.concat(F.substring_index(email, "@", 1), F.array_join(longer, ""), F.lit("@"),
+                                      F.substring_index(email, "@", -1))).otherwise(email)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6), F.lit(2)),
                                   lambda i: ((byte(i) * 256 + byte(i + 1)) % 254 + 1).cast("string")), ".")
     ssn = each(norm, lambda c, i: F.when(i == 0, "9").otherwise(digit(i)))
@@ -169,8 +175,9 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
         parts = F.array(*map(F.lit, SYLLABLES[script]))
         ends = F.when(kind == "given_m", ENDINGS["given_m"][ending]).when(kind == "given_f", ENDINGS["given_f"][ending]) \
             .when(kind == "family", ENDINGS["family"][ending]).otherwise("")
-        picked = [F.element_at(parts, byte(F.lit(i)) % len(SYLLABLES[script]) + 1) for i in range(4)]
-        return F.concat(*picked[:3], F.when(F.length(norm) > 6, picked[3]).otherwise(""), ends)
+        size = F.when(F.length(norm) > 6, 4).otherwise(3) + more
+        picked = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.element_at(parts, byte(i) % len(SYLLABLES[script]) + 1))
+        return F.concat(F.array_join(picked, ""), ends)
 
     person = F.when(F.regexp_like(norm, F.lit(r"\p{IsCyrillic}")), name("cyrillic", 1)) \
         .when(F.regexp_like(norm, F.lit(r"\p{IsGreek}")), name("greek", 2)).otherwise(name("latin", 0))
@@ -183,8 +190,14 @@ def in_format(kind: Column, raw: Column, core: Column) -> Column:
     chars = F.split(raw, "")
     filled = F.array_join(F.transform(chars, lambda c, i: F.when(
         c.between("0", "9"), F.substr(core, F.length(_digits(F.substr(raw, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
-    cased = F.array_join(F.transform(F.split(core, ""), lambda c, i: F.when(
-        F.coalesce(F.get(chars, i), F.lit("")).between("A", "Z"), F.upper(c)).otherwise(c)), "")
+    place = F.instr(raw, "@") - 1  # letters beyond the shape stand before the sign
+
+    def cased_like(c: Column, i: Column) -> Column:
+        more = F.length(core) - F.length(raw)
+        own = F.get(chars, F.when(i < place, i).when(i >= place + more, i - more))
+        return F.when(F.coalesce(own, F.lit("")).between("A", "Z"), F.upper(c)).otherwise(c)
+
+    cased = F.array_join(F.transform(F.split(core, ""), cased_like), "")
     return (F.when(kind.isin("phone", "card", "ssn"), filled).when(kind == "email", cased).when(kind == "ip", core)
             .when(raw == F.upper(raw), F.upper(core)).otherwise(F.initcap(core)))
 
