@@ -130,3 +130,16 @@ def test_surrogates_grow_when_their_space_is_full(spark, monkeypatch):
     assert all(re.fullmatch(r"[a-z]+@[a-z]\.co", r.core) for r in got if r.kind == "email")
     long = spark.range(1).select(V.in_format(F.lit("email"), F.lit("A@B.co"), F.lit("qxx@r.co")).alias("x")).first().x
     assert long == "Qxx@R.co"
+
+
+def test_common_phone_formats(spark):
+    phones = ["+14155550123", "1-415-555-0123", "415 555 0123", "+33 1 23 45 67 89", "1 415 555 0123", "+45 12 34 56 78", "+32 2 123 45 67",
+              "+61 2 1234 5678", "+35312345678"]
+    got = replaced(spark, [f"Room 1204 {p} or 7" for p in phones])
+    for phone, (text, n) in zip(phones, got, strict=True):
+        assert n == {"phone": 1} and phone not in text, (phone, text, n)
+        assert re.fullmatch(re.sub(r"[0-9]", "[0-9]", re.escape(f"Room 1204 {phone} or 7")), text)
+    digits = [re.sub(r"\D", "", text[10:-5]) for text, _ in got]
+    assert digits[0] == digits[1] == digits[4] and digits[0][0] == "1" and digits[3][:2] == "33" and digits[8][:3] == "353"
+    plain = ["rows 100 200 3000", "+123 apples", "12 34 56 78 90"]
+    assert replaced(spark, plain) == [(p, {}) for p in plain]

@@ -39,9 +39,14 @@ _AMEX = r"[0-9]{4}[ -](?:[0-9]{6}[ -][0-9]{4,5}|[0-9]{5}[ -][0-9]{6}|[0-9]{4}[ -
 FOURS = rf"[0-9]{{4}}(?:[ -](?!{_AMEX})[0-9]{{4}}(?![0-9])){{3,}}(?:[ -][0-9]{{1,3}}(?![ -]?[0-9]))?"
 CARD = rf"(?<![0-9+])(?:[0-9]{{13,19}}|[0-9]{{6}}[ -][0-9]{{13}}|{_AMEX}|{FOURS})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = (r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
+#: Country codes: of one, two and three digits.
+_CODE = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
+PHONE = (r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{2,4}\)[ .-]?|[0-9]{1,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
+         r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-](?:[0-9](?:[ .-][0-9]{2}){4}|[0-9]{2}(?:[ .-][0-9]{2}){3,4}|[0-9][ .-][0-9]{3}(?:[ .-][0-9]{2}){2})(?![0-9])"
+         rf"|(?<![0-9A-Za-z+])\+{_CODE}[0-9]{{6,13}}(?![0-9])"
          r"|(?<![0-9A-Za-z+])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-         r"|(?<![0-9A-Za-z+.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])")
+         r"|(?<![0-9A-Za-z+.-])(?:1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
+         r"|(?<![0-9A-Za-z+.-])(?:1[ .-])?[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?![0-9])")
 _TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 NAME = rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?(?![\p{{L}}])"
@@ -77,7 +82,8 @@ def kind_of(raw: Column) -> Column:
 
 def normal_form(kind: Column, raw: Column) -> Column:
     """What mentions of one entity have in common. A phone's country code is set off, as it is kept."""
-    code = F.regexp_extract(raw, r"^\+([0-9]{1,3})(?=[ .(-])", 1)
+    code = F.coalesce(*(F.nullif(F.regexp_extract(raw, pattern, 1), F.lit("")) for pattern in (
+        r"^\+([0-9]{1,3})(?=[ .(-])", rf"^\+({_CODE})[0-9]{{6}}", r"^(1)[ .-]")), F.lit(""))
     rest = F.substring(_digits(raw), F.length(code) + 1, 99)
     return (F.when(kind == "phone", F.when(code != "", F.concat(code, F.lit("|"), rest)).otherwise(_digits(raw)))
             .when(kind.isin("card", "ssn"), _digits(raw)).when(kind == "ip", raw).otherwise(F.lower(raw)))
