@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe, lines, minhash, mixing, privacy, quality, secrets, sql, token_counts, token_files, vectors
-from timberline.llm.common import table
+from timberline.llm import bpe, lines, main_text, minhash, mixing, privacy, quality, repeats, secrets, sql, token_counts, token_files, vectors, whitening
+from timberline.llm.common import WORD, table, text_of
 from timberline.session import new_path
 
 TOKEN_LIMIT = 1024
@@ -95,5 +95,45 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "text", *(F.coalesce(F.try_element_at("n", F.lit(k)), F.lit(0)).alias(f"n_{k}") for k in kinds))
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op10_surrogates": op10_surrogates, "op5_near_vectors": op5_near_vectors, "op6_near_duplicates": op6_near_duplicates, "op1_secret_scan": op1_secret_scan, "op7_quality_rules": op7_quality_rules, "op8_mix_sources": op8_mix_sources, "op3_token_files": op3_token_files, "op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_repeated_words(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: every tenth text, by the checksum of its id, repeats a stretch of its words from some word on.
+    A null id has no checksum and leaves the text as it is."""
+    rows = docs.select("doc_id", text_of("text").alias("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    g = F.floor(F.col("h") / 10)
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), 0))
+    rows = rows.select("doc_id", "text", g.alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    a = (F.col("g") % F.col("n")).cast("int")
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, a)).withColumn("left", F.col("n") - F.col("a"))
+    rows = rows.withColumn("p", (1 + F.floor(F.col("left") / (3 + F.col("g") % 8))).cast("int"))
+    stretch = F.slice("words", F.col("a") + 1, F.col("p"))
+    again = F.flatten(F.array_repeat(stretch, F.ceil(F.col("left") / F.col("p")).cast("int")))
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), F.col("left"))), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+def op12_columns(found: DataFrame) -> DataFrame:
+    top = F.reduce("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"),
+                   lambda best, r: F.when(best.isNull() | (r["length"] > best["length"]), r).otherwise(best))
+    rows = found.select("*", top.alias("top"))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.concat(F.array_join(listed, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return rows.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_columns(repeats.periodic_runs(op12_repeated_words(table(spark, sf_dir, "documents"))))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op12_periodic_runs": op12_periodic_runs, "op13_main_text": op13_main_text, "op11_whitening": op11_whitening, "op4_line_dedup": op4_line_dedup, "op10_surrogates": op10_surrogates, "op5_near_vectors": op5_near_vectors, "op6_near_duplicates": op6_near_duplicates, "op1_secret_scan": op1_secret_scan, "op7_quality_rules": op7_quality_rules, "op8_mix_sources": op8_mix_sources, "op3_token_files": op3_token_files, "op2_byte_bpe": op2_byte_bpe, "op9_token_counts": op9_token_counts}
 SQL: dict[str, str] = {"op8_mix_sources": sql.OP8}
