@@ -37,6 +37,33 @@ def test_pieces_are_those_of_the_library(library):
         assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
 
 
+def thue_morse(bits):
+    """Two words of 2^bits letters whose sums of letters times powers of an odd number agree modulo 2^64."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(1 << bits))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("bits", [8, 10, 11, 12])
+def test_pieces_of_equal_hash_keep_their_own_ids(library, ranks, bits):
+    one, two = thue_morse(bits)
+    if bits > 9:
+        h = pieces.Pieces([one, two]).hashes()
+        assert h[0] == h[1]
+    for cache, special, want in ((pieces.library_cache(JSON), token_counts.SPECIAL, lambda t: library.encode(t, add_special_tokens=False).ids),
+                                 (bpe.rank_cache(RANKS), None, ranks.encode_ordinary)):
+        cache.clear()
+        for batch in ([one, two, one], [two], [one, "x"], [two, one]):
+            ids, n = pieces.encode_texts(batch, cache, special)
+            assert ids.tolist() == sum(map(want, batch), []) and n.tolist() == [len(want(t)) for t in batch]
+            assert pieces.count_texts(batch, cache, special).tolist() == n.tolist()
+
+
+def test_pieces_of_equal_hash_decode(ranks):
+    one, two = thue_morse(11)
+    _, _, ids = bpe.encode_batch([two, f"{one} {two}"], bpe.rank_cache(RANKS), 1 << 13)
+    assert [i.tolist() for i in ids] == [ranks.encode_ordinary(two), ranks.encode_ordinary(f"{one} {two}")]
+
+
 def test_steps_cut_only_between_pieces(library):
     text = "".join(texts(40, 60))
     parts = list(pieces.steps(text, token_counts.SPECIAL, 100))

@@ -10,7 +10,8 @@ character classes. Two facts make joins provable:
   space run and three into a contraction; a special string has 13).
 
 Equal pieces have equal ids, so a worker encodes each distinct piece once and
-keeps it in a bounded :class:`PieceIds`.
+keeps it in a bounded :class:`PieceIds`. Pieces are looked up by a hash, and every hit is
+compared letter by letter: hashes decide how fast a look-up is, never what it gives.
 """
 
 from __future__ import annotations
@@ -129,6 +130,17 @@ class Pieces:
         return [self.joined[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
 
 
+def _unlike(codes: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which stretches ``codes[start : start + size]`` differ somewhere from ``other[at : at + size]``."""
+    ends = np.cumsum(size)
+    step = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
+    wrong = codes[np.repeat(start, size) + step] != other[np.repeat(at, size) + step]
+    out = np.zeros(len(size), bool)
+    if wrong.any():
+        out[np.searchsorted(ends, np.flatnonzero(wrong), "right")] = True
+    return out
+
+
 class PieceIds:
     """Ids of pieces, each distinct one encoded once; emptied when it holds more than ``most`` pieces."""
 
@@ -141,30 +153,52 @@ class PieceIds:
         self.at = np.zeros(0, np.int64)
         self.n = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
+        self.letters = np.zeros(0, np.uint32)  # of all pieces held, one after the other
+        self.place = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+
+    def _encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Append the ids of ``strings`` to ``flat``: where each begins, and how many there are."""
+        lists = self.encode(strings)
+        n = np.fromiter(map(len, lists), np.int32, len(lists))
+        flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(n.sum()))
+        begin = len(self.flat) + np.cumsum(n) - n
+        self.flat = np.concatenate([self.flat, flat])
+        return begin, n
 
     def find(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
         """Position in ``flat`` and number of ids of every piece."""
         if len(pieces.start) == 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        codes, start, size = pieces.codes, pieces.start, pieces.end - pieces.start
         value, first, back = np.unique(pieces.hashes(), return_index=True, return_inverse=True)
-        if len(self.key) > self.most:
+        if max(len(self.key), len(self.flat) // 16, len(self.letters) // 64) > self.most:
             self.clear()
         at = np.searchsorted(self.key, value)
         new = np.ones(len(value), bool)
         inside = at < len(self.key)
         new[inside] = self.key[at[inside]] != value[inside]
         if new.any():
-            lists = self.encode(pieces.strings(first[new]))
-            n = np.fromiter(map(len, lists), np.int32, len(lists))
-            flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(n.sum()))
-            begin = len(self.flat) + np.cumsum(n) - n
-            self.flat = np.concatenate([self.flat, flat])
-            place = at[new]
+            begin, n = self._encoded(pieces.strings(first[new]))
+            place, width = at[new], size[first[new]]
+            ends = np.cumsum(width)
+            letters = np.arange(int(ends[-1])) + np.repeat(start[first[new]] - (ends - width), width)
+            self.place = np.insert(self.place, place, len(self.letters) + ends - width)
+            self.letters = np.concatenate([self.letters, codes[letters]])
+            self.size = np.insert(self.size, place, width)
             self.key = np.insert(self.key, place, value[new])
             self.at = np.insert(self.at, place, begin)
             self.n = np.insert(self.n, place, n)
             at = np.searchsorted(self.key, value)
-        return self.at[at][back], self.n[at][back]
+        # A piece whose hash meets one of other letters is encoded on its own.
+        held = at[back]
+        wrong = self.size[held] != size
+        same = np.flatnonzero(~wrong)
+        wrong[same] = _unlike(codes, start[same], size[same], self.letters, self.place[held[same]])
+        where, n = self.at[held], self.n[held]
+        if wrong.any():
+            where[wrong], n[wrong] = self._encoded(pieces.strings(np.flatnonzero(wrong)))
+        return where, n
 
     def ids(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The ids of the found pieces, one after the other."""
