@@ -11,12 +11,9 @@ from pyspark.sql import Window
 from timberline.functions.parsing import event_identity
 from timberline.functions.text import strip
 from timberline.operators.correlate import SLACK, incident_entities, incident_services
-from timberline.operators.ordering import BLOCK, number_densely, number_in_order
+from timberline.operators.ordering import BLOCK, number_densely, number_in_order, with_last
 from timberline.session import cut
 
-HOUR = 3600.0
-
-
 def with_identity(lines: DataFrame) -> DataFrame:
     return lines.withColumn(
         "event_id", event_identity(F.col("source_id"), F.col("source_line"), strip(F.col("line")))
@@ -48,76 +45,103 @@ def incident_spans(members: DataFrame) -> DataFrame:
     )
 
 
-def _first_near(reports: DataFrame, candidates: DataFrame, key: str, slack: float, width: float) -> DataFrame:
-    """Lowest report number per candidate among those that share ``key`` within ``slack``.
+def _keyed(members: DataFrame, by: str, slack: float, gap: float) -> DataFrame:
+    """``(dataset, by, reach, key)``: a template reaches as far as the session gap, an entity as far as the slack."""
+    templates = members.select("dataset", by, F.lit(gap).alias("reach"), F.col("template_id").alias("key"))
+    entities = members.select("dataset", by, F.lit(slack).alias("reach"), F.explode("wide").alias("key"))
+    return templates.unionByName(entities).distinct()
 
-    Both sides are cut into time buckets, so a key held by very many incidents
-    only pairs those of the same time, and the minimum is taken while joining.
-    """
 
-    def buckets(low, high):
-        return F.explode(F.sequence(F.floor(low / width).cast("long"), F.floor(high / width).cast("long")))
+def _buckets(low, high, reach: str):
+    """Time buckets of a span; wide ones for a wide reach."""
+    width = F.col(reach) * 12
+    return F.explode(F.sequence(F.floor(low / width).cast("long"), F.floor(high / width).cast("long")))
 
-    left = reports.select(
-        "dataset", key, F.col("number").alias("r_number"), F.col("start").alias("r_start"),
-        F.col("end").alias("r_end"), buckets(F.col("start") - slack, F.col("end") + slack).alias("_bucket"),
-    )
-    right = candidates.select(
-        "dataset", key, "incident_id", "start", "end", buckets(F.col("start"), F.col("end")).alias("_bucket")
-    )
-    near = (F.col("start") <= F.col("r_end") + slack) & (F.col("r_start") <= F.col("end") + slack)
-    return (
-        right.join(left, ["dataset", key, "_bucket"])
-        .filter(near)
-        .groupBy("dataset", "incident_id")
-        .agg(F.min("r_number").alias("match"))
-    )
+
+def _matches_seen(base: DataFrame, base_keys: DataFrame, new: DataFrame, new_keys: DataFrame, placed: DataFrame, width: int) -> DataFrame:
+    """``(dataset, place, report)``: the first report that fits each candidate, if the candidates before it went where
+    ``placed`` says.
+
+    A report holds its base and the candidates placed in it before; it spans from its first member's start to its
+    last member's end. Both sides are cut into time buckets, so a key that very many incidents hold only pairs those of one time.
+    """
+    joined = placed.join(new, ["dataset", "place"]).select("dataset", "report", "place", "start", "end")
+    members = base.withColumn("place", F.lit(-1).cast("long")).unionByName(joined)
+    spans = members.groupBy("dataset", "report").agg(F.min_by("start", "place").alias("r_start"), F.max("end").alias("r_end"))
+    held = base_keys.withColumn("place", F.lit(-1).cast("long")).unionByName(
+        placed.join(new_keys.drop("start", "end"), ["dataset", "place"]).select("dataset", "report", "reach", "key", "place")
+    )
+    held = held.groupBy("dataset", "report", "reach", "key").agg(F.min("place").alias("since")).join(spans, ["dataset", "report"])
+    held = held.withColumn("bucket", _buckets(F.col("r_start") - F.col("reach"), F.col("r_end") + F.col("reach"), "reach"))
+    asked = new_keys.withColumn("bucket", _buckets(F.col("start"), F.col("end"), "reach"))
+    near = (F.col("since") < F.col("place")) & (F.col("start") <= F.col("r_end") + F.col("reach"))
+    near = near & (F.col("r_start") <= F.col("end") + F.col("reach"))
+    pairs = asked.join(held, ["dataset", "reach", "key", "bucket"]).filter(near)
+    pairs = pairs.groupBy("dataset", "report", "place").agg(F.max("reach").alias("reach"), F.first("start").alias("start"))
+    # The end of a report as the candidate sees it: that of the last member placed before.
+    rows = members.select("dataset", "report", (F.col("place") * 2 + 1).alias("at"), "end", F.lit(None).cast("long").alias("place"),
+                          F.lit(None).cast("double").alias("reach"), F.lit(None).cast("double").alias("start"))
+    rows = rows.unionByName(pairs.select("dataset", "report", (F.col("place") * 2).alias("at"), F.lit(None).cast("double").alias("end"),
+                                         "place", "reach", "start"))
+    seen = with_last(rows, ["dataset", "report"], "at", "end", "seen_end", width).filter("place IS NOT NULL")
+    return seen.filter(F.col("start") <= F.col("seen_end") + F.col("reach")).groupBy("dataset", "place").agg(F.min("report").alias("report"))
+
+
+#: Reports that a slice founds are told from those it found by numbers from here on, in candidate order.
+_FOUNDED = 1 << 48
 
 
 def match_incidents(
-    existing: DataFrame, candidates: DataFrame, slack: float = SLACK, gap: float = 5 * SLACK
+    existing: DataFrame, candidates: DataFrame, slack: float = SLACK, gap: float = 5 * SLACK, width: int = BLOCK
 ) -> DataFrame:
-    """``dataset, candidate, match``: the first compatible report, null for none.
+    """``dataset, candidate, candidate_number, match, number_after``: the first compatible report (null for none), and
+    the number the candidate has after the slice.
 
-    Both inputs are member tables. Compatible means a shared template within the
-    session gap, or a shared entity key within the slack. Every candidate is
-    matched against the reports that existed before the slice.
+    Both inputs are member tables. Compatible means a shared template within the session gap, or a shared entity key
+    within the slack. Candidates come in the order of their numbers, and each sees what those before it left behind: reports
+    they founded, and the templates, entities and later end of reports they joined. A candidate
+    without a match founds the report of the next free number.
+
+    Where a candidate goes depends on those before it only, so rounds that place all candidates at once by the last
+    round's places settle at least one more link of every chain each time; the first round that changes nothing equals one pass in
+    order. Runs jobs while the plan is made, three small tables a round.
     """
     old, new = incident_spans(existing), incident_spans(candidates)
-
-    def keyed(members: DataFrame, spans: DataFrame, key: str, column) -> DataFrame:
-        pairs = members.select("dataset", "incident_id", column.alias(key)).distinct()
-        return pairs.join(spans, ["dataset", "incident_id"])
-
-    by_template = _first_near(
-        keyed(existing, old, "t", F.col("template_id")), keyed(candidates, new, "t", F.col("template_id")),
-        "t", gap, HOUR,
-    )
-    by_entity = _first_near(
-        keyed(existing, old, "k", F.explode("wide")), keyed(candidates, new, "k", F.explode("wide")),
-        "k", slack, HOUR / 6,
-    )
-    best = by_template.unionByName(by_entity).groupBy("dataset", "incident_id").agg(F.min("match").alias("match"))
-    return new.join(best, ["dataset", "incident_id"], "left").select(
-        "dataset", F.col("incident_id").alias("candidate"), F.col("number").alias("candidate_number"), "match"
+    base = cut(old.select("dataset", F.col("number").alias("report"), "start", "end"), "reports")
+    named = cut(new.select("dataset", "incident_id", F.col("number").alias("place"), "start", "end"), "candidates")
+    spans = named.drop("incident_id")
+    base_keys = cut(_keyed(existing.withColumnRenamed("number", "report"), "report", slack, gap), "report-keys")
+    new_keys = _keyed(candidates.withColumnRenamed("number", "place"), "place", slack, gap)
+    new_keys = cut(new_keys.join(spans, ["dataset", "place"]), "candidate-keys")
+    own = F.lit(_FOUNDED) + F.col("place")
+    placed = spans.select("dataset", "place", F.lit(None).cast("long").alias("report")).limit(0)
+    while True:
+        found = _matches_seen(base, base_keys, spans, new_keys, placed, width).withColumnRenamed("report", "found")
+        before = placed.select("dataset", "place", F.col("report").alias("was"))
+        step = spans.select("dataset", "place").join(found, ["dataset", "place"], "left").join(before, ["dataset", "place"], "left")
+        step = step.select("dataset", "place", F.coalesce("found", own).alias("report"), "was")
+        step = cut(step, "placed")
+        placed = step.drop("was")
+        if step.filter(~F.col("report").eqNullSafe(F.col("was"))).isEmpty():
+            break
+    top = base.groupBy("dataset").agg(F.max("report").alias("_top"))
+    founders = placed.filter(F.col("report") == own).select("dataset", "place")
+    numbers = number_densely(founders, ["dataset"], "place", "_n", 1, width).join(top, "dataset", "left").select(
+        "dataset", (F.lit(_FOUNDED) + F.col("place")).alias("report"), (F.col("_n") + F.coalesce("_top", F.lit(100))).cast("long").alias("_new")
+    )
+    return named.join(placed, ["dataset", "place"]).join(cut(numbers, "founded"), ["dataset", "report"], "left").select(
+        "dataset", F.col("incident_id").alias("candidate"), F.col("place").alias("candidate_number"),
+        F.when(F.col("report") != own, F.coalesce("_new", "report")).alias("match"),
+        F.coalesce("_new", "report").alias("number_after"),
     )
 
 
 def merge_incidents(existing: DataFrame, candidates: DataFrame, width: int = BLOCK) -> DataFrame:
     """Member table after the slice: matched candidates join their report, the others
     get the next free numbers in candidate order."""
-    matches = cut(match_incidents(existing, candidates), "matches")
-    top = existing.groupBy("dataset").agg(F.max("number").alias("_top"))
-    fresh = number_densely(
-        matches.filter(F.col("match").isNull()).select("dataset", "candidate", "candidate_number"),
-        ["dataset"], "candidate_number", "_n", 1, width,
-    ).join(top, "dataset", "left")
-    fresh = fresh.select(
-        "dataset", "candidate", (F.col("_n") + F.coalesce("_top", F.lit(100))).cast("long").alias("new_number")
-    )
-    target = matches.join(fresh, ["dataset", "candidate"], "left").select(
-        "dataset", F.col("candidate").alias("incident_id"), F.col("candidate_number"),
-        F.coalesce("match", "new_number").alias("number_after"),
+    matches = cut(match_incidents(existing, candidates, width=width), "matches")
+    target = matches.select(
+        "dataset", F.col("candidate").alias("incident_id"), "candidate_number", "number_after",
         F.col("match").isNotNull().alias("carried"),
     )
     moved = candidates.drop("number").join(target, ["dataset", "incident_id"]).select(

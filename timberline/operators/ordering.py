@@ -74,6 +74,24 @@ def with_previous(
     )
 
 
+def with_last(
+    df: DataFrame, keys: Sequence[str], order: str, field: str, name: str, width: int = BLOCK
+) -> DataFrame:
+    """Adds ``name``: the last non-null ``field`` among the rows before (``order`` is unique within the keys)."""
+    keys = list(keys)
+    df = df.withColumn("_block", block_of(order, width))
+    lasts = df.groupBy(*keys, "_block").agg(F.max_by(field, F.when(F.col(field).isNotNull(), F.col(order))).alias("_last"))
+    above = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.withColumn("_carried", F.last("_last", ignorenulls=True).over(above)).drop("_last")
+    inner = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        df.withColumn("_within", F.last(field, ignorenulls=True).over(inner))
+        .join(carried, [*keys, "_block"])
+        .withColumn(name, F.coalesce("_within", "_carried"))
+        .drop("_block", "_within", "_carried")
+    )
+
+
 def number_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """Gap-free numbers from 1 per ``keys`` in a composite order, written once.
 

@@ -270,29 +270,40 @@ SELECT *, row_number() OVER (PARTITION BY dataset, question_id ORDER BY rank, po
 WHERE once = 1""", "found", "passages", "ordered")
 
 # --- incremental -------------------------------------------------------------
-def _spans(p: str) -> str:
-    return f"(SELECT dataset, incident_id, number, min(timestamp_epoch) AS s, max(timestamp_epoch) AS e FROM members{p} GROUP BY 1, 2, 3)"
+def _shapes(p: str) -> str:
+    """Incidents with spans and what they can be matched by."""
+    return f"""
+SELECT dataset, incident_id, number, min(timestamp_epoch) AS s, max(timestamp_epoch) AS e, list(DISTINCT template_id) AS ts,
+ list_distinct(flatten(list(wide))) AS ks FROM members{p} GROUP BY 1, 2, 3"""
 
 
-def _pairs(column: str, slack: int) -> str:
-    return f"""
-SELECT c.dataset, c.incident_id, r.number FROM (SELECT DISTINCT dataset, incident_id, {column} AS k FROM members_2) ck
-JOIN {_spans('_2')} c USING (dataset, incident_id)
-JOIN (SELECT DISTINCT dataset, incident_id, {column} AS k FROM members_1) rk ON rk.dataset = c.dataset AND rk.k = ck.k
-JOIN {_spans('_1')} r ON r.dataset = rk.dataset AND r.incident_id = rk.incident_id
-WHERE c.s <= r.e + {slack} AND r.s <= c.e + {slack}"""
+def _fits(keys: str, slack: int) -> str:
+    return f"(list_has_any(r.{keys}, c.{keys}) AND c.s <= r.e + {slack} AND r.s <= c.e + {slack})"
 
 
-cte("matches", f"""
-SELECT c.dataset, c.incident_id AS candidate, c.number AS candidate_number, m.match FROM {_spans('_2')} c
-LEFT JOIN (SELECT dataset, incident_id, min(number) AS match FROM ({_pairs('template_id', 300)} UNION ALL {_pairs('unnest(wide)', 60)}) GROUP BY 1, 2) m
-USING (dataset, incident_id)""", "members_1", "members_2")
+cte("candidates", f"SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY number) AS i FROM ({_shapes('_2')})", "members_2")
+# One candidate after the other, each against the reports as those before it left them.
+cte("carried", f"""/*recursive*/
+SELECT c.dataset, 0::BIGINT AS i, coalesce(r.top, 100) AS top, NULL::BIGINT AS match, NULL::BIGINT AS after,
+ coalesce(r.reports, []) AS reports
+FROM (SELECT DISTINCT dataset FROM candidates) c LEFT JOIN (
+ SELECT dataset, max(number)::BIGINT AS top, list({{'n': number::BIGINT, 's': s, 'e': e, 'ts': ts, 'ks': ks}} ORDER BY number) AS reports
+ FROM ({_shapes('_1')}) GROUP BY 1) r USING (dataset)
+UNION ALL
+SELECT dataset, i, CASE WHEN match IS NULL THEN top + 1 ELSE top END, match, coalesce(match, top + 1),
+ CASE WHEN match IS NULL THEN list_append(reports, {{'n': top + 1, 's': s, 'e': e, 'ts': ts, 'ks': ks}})
+  ELSE list_transform(reports, lambda r: CASE WHEN r.n = match THEN
+   {{'n': r.n, 's': r.s, 'e': e, 'ts': list_distinct(r.ts || ts), 'ks': list_distinct(r.ks || ks)}} ELSE r END) END
+FROM (SELECT c.dataset, c.i, c.s, c.e, c.ts, c.ks, x.top, x.reports, list_min(list_transform(list_filter(x.reports,
+  lambda r: {_fits('ts', 300)} OR {_fits('ks', 60)}), lambda r: r.n)) AS match
+ FROM carried x JOIN candidates c ON c.dataset = x.dataset AND c.i = x.i + 1)""", "candidates", "members_1")
+cte("matches", """
+SELECT c.dataset, c.incident_id AS candidate, c.number AS candidate_number, x.match, x.after
+FROM candidates c JOIN carried x ON x.dataset = c.dataset AND x.i = c.i""", "candidates", "carried")
 cte("merged", """
 SELECT dataset, incident_id, number, id, timestamp, timestamp_epoch, service, host, template_id, 0 AS generation, 0 AS candidate_number,
   block_id, req_id, bgl_node, ent_user, all_block_ids, ips, registers FROM members_1
 UNION ALL
 SELECT m.dataset, 'INC-' || t.after AS incident_id, t.after AS number, id, timestamp, timestamp_epoch, service, host, template_id, 1, t.candidate_number,
   block_id, req_id, bgl_node, ent_user, all_block_ids, ips, registers FROM members_2 m
-JOIN (SELECT x.dataset, x.candidate, x.candidate_number, coalesce(x.match, top + row_number() OVER (PARTITION BY x.dataset, x.match IS NULL ORDER BY x.candidate_number)) AS after
-  FROM matches x JOIN (SELECT dataset, max(number) AS top FROM members_1 GROUP BY 1) USING (dataset)) t
-ON t.dataset = m.dataset AND t.candidate = m.incident_id""", "members_1", "members_2", "matches")
+JOIN matches t ON t.dataset = m.dataset AND t.candidate = m.incident_id""", "members_1", "members_2", "matches")

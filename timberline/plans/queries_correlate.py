@@ -288,7 +288,7 @@ def events_union(t):
     return I.events_union(t.slice(False), t.slice(True)).select("dataset", "id", "event_id")
 
 
-@query("incident_merge", chain("SELECT dataset, candidate, candidate_number, match::VARCHAR AS match FROM matches", "matches"))
+@query("incident_merge", chain("SELECT dataset, candidate, candidate_number, match::VARCHAR AS match, after AS number_after FROM matches", "matches"))
 def incident_merge(t):
     matches = I.match_incidents(t.first_slice.members, t.second_slice.members)
     return matches.withColumn("match", F.col("match").cast("string"))
