@@ -32,18 +32,33 @@ def masked_texts(events: DataFrame) -> DataFrame:
     )
 
 
-def _route(texts: DataFrame, keys: list[str], position: int, name: str, max_children: int) -> DataFrame:
+def _route(texts: DataFrame, keys: list[str], position: int, name: str, max_children: int, known: DataFrame | None = None) -> DataFrame:
     """Child taken at one layer: the token itself while it is among the first
-    ``max_children`` distinct tokens of its node, else the wildcard."""
+    ``max_children`` distinct tokens of its node, else the wildcard.
+
+    ``known(*keys, token)`` are children that the nodes have already.
+    """
     token = F.try_element_at("tokens", F.lit(position))
     texts = texts.withColumn("_tok", F.when(M.is_mark(token), P.WILDCARD).otherwise(token))
-    children = texts.groupBy(*keys, "_tok").agg(F.min("first_id").alias("_first"))
+    children = texts.filter(F.col("_tok").isNotNull()).groupBy(*keys, "_tok").agg(F.min("first_id").alias("_first"))
+    taken = F.lit(0)
+    if known is not None:
+        old = known.select(*keys, F.col("token").alias("_tok"), F.lit(True).alias("_admitted"))
+        children = children.join(old.drop("_admitted"), [*keys, "_tok"], "left_anti")
+        children = children.join(known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_taken")), keys, "left")
+        taken = F.coalesce("_taken", F.lit(0))
+    # A node's first tokens are among the first of each part of its tokens: no window holds a whole large node.
+    order = (F.col("_first"), F.col("_tok"))
+    part = F.pmod(F.xxhash64("_tok"), F.lit(64))
+    children = children.withColumn("_part", part).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    children = children.filter(F.col("_rank") <= max_children)
     admitted = (
-        children.filter(F.col("_tok").isNotNull())
-        .withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_first", "_tok")))
+        children.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) + taken)
         .filter(F.col("_rank") <= max_children)
         .select(*keys, "_tok", F.lit(True).alias("_admitted"))
     )
+    if known is not None:
+        admitted = admitted.unionByName(old)
     return (
         texts.join(admitted, [*keys, "_tok"], "left")
         .withColumn(
@@ -56,10 +71,33 @@ def _route(texts: DataFrame, keys: list[str], position: int, name: str, max_chil
     )
 
 
-def template_leaves(texts: DataFrame, max_children: int = MAX_CHILDREN) -> DataFrame:
-    """Adds ``key1, key2``: with the token count they name the leaf of a text."""
-    df = _route(texts, ["dataset", "n_tokens"], 1, "key1", max_children)
-    return _route(df, ["dataset", "n_tokens", "key1"], 2, "key2", max_children)
+CHILDREN = "dataset string, n_tokens int, key1 string, token string"
+
+
+def template_leaves(texts: DataFrame, max_children: int = MAX_CHILDREN, known: DataFrame | None = None) -> DataFrame:
+    """Adds ``key1, key2``: with the token count they name the leaf of a text.
+
+    ``known`` (``CHILDREN``; null ``key1`` in the first layer) are the children of an earlier tree that goes on growing.
+    """
+    one = two = None
+    if known is not None:
+        one, two = known.filter("key1 IS NULL").drop("key1"), known.filter("key1 IS NOT NULL")
+    df = _route(texts, ["dataset", "n_tokens"], 1, "key1", max_children, one)
+    return _route(df, ["dataset", "n_tokens", "key1"], 2, "key2", max_children, two)
+
+
+def tree_children(leaves: DataFrame) -> DataFrame:
+    """The children (``CHILDREN``) of the nodes that routed texts went through.
+
+    A wildcard counts as a child only if a mask made it one; the one that overflow goes to comes on top of the
+    limit and cannot lower it, since its node is full by then.
+    """
+
+    def child(position: int, key1):
+        token = F.try_element_at("tokens", F.lit(position))
+        return leaves.filter(token.isNotNull()).select("dataset", "n_tokens", key1.alias("key1"), F.col(f"key{position}").alias("token"))
+
+    return child(1, F.lit(None).cast("string")).unionByName(child(2, F.col("key1"))).distinct()
 
 
 LEAF = ["dataset", "n_tokens", "key1", "key2"]
@@ -184,11 +222,12 @@ _STEP = (
 )
 
 
-def cluster_templates(leaves: DataFrame, st: float = SIMILARITY, head: int = 20000) -> DataFrame:
-    """Cluster per text in first-id order -> ``dataset, template, founder, cluster_template``.
+def grow_clusters(leaves: DataFrame, st: float = SIMILARITY, head: int = 20000, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Take texts into clusters in first-id order: ``(texts, state)`` with each text's cluster (``seq`` of its leaf)
+    and all clusters of the leaves that ``leaves`` or ``state`` name.
 
-    A text joins the most similar earlier cluster of its leaf, which turns the
-    differing positions into wildcards, or founds one. The order matters only
+    ``state`` are clusters that earlier texts left. A text joins the most similar earlier cluster of its leaf, which
+    turns the differing positions into wildcards, or founds one. The order matters only
     while texts still change clusters, so the work goes in rounds. Per leaf, the
     first open texts (``head`` to twice that) are clustered in order in one small group. All
     other open texts are then matched in parallel, in groups of bounded size,
@@ -197,7 +236,7 @@ def cluster_templates(leaves: DataFrame, st: float = SIMILARITY, head: int = 200
     (plus the clusters of the leaf), and the outcome equals one pass in order.
     """
     leaves = cut(leaves.select(*LEAF, "template", "first_id"), "leaves")
-    open_texts, state = leaves, None
+    open_texts = leaves
     settled: list[DataFrame] = []
     while True:
         ranked = _first_per_leaf(open_texts, head)
@@ -223,6 +262,12 @@ def cluster_templates(leaves: DataFrame, st: float = SIMILARITY, head: int = 200
     texts = settled[0]
     for more in settled[1:]:
         texts = texts.unionByName(more)
+    return texts, state
+
+
+def cluster_templates(leaves: DataFrame, st: float = SIMILARITY, head: int = 20000) -> DataFrame:
+    """Cluster per text in first-id order -> leaf, ``dataset, template, first_id, founder, cluster_template``."""
+    texts, state = grow_clusters(leaves, st, head)
     final = state.select(*LEAF, "seq", F.col("template").alias("cluster_template"))
     return texts.join(final, [*LEAF, "seq"]).select(
         *LEAF, "template", "first_id", "founder", "cluster_template"

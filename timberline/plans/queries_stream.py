@@ -10,6 +10,7 @@ from timberline.plans.oracle_base import chain, half_up
 from timberline.plans.queries_ingest import _STORED, _flat
 from timberline.plans.registry import query
 from timberline.sources import parquet as PQ
+from timberline.sources.published import read_published
 from timberline.streaming import jobs as J
 
 
@@ -48,7 +49,7 @@ def incident_sketch(t):
 def stream_sketch(t):
     out, mark = t.new_path("sketch"), t.new_path("checkpoint")
     J.start_sketch(stream_events(t), out, mark).awaitTermination()
-    return t.spark.read.parquet(out)
+    return read_published(t.spark, out, "sketch")
 
 
 @query("sketch_evidence", chain(f"""
@@ -87,15 +88,24 @@ def stream_dedupe(t):
     return _flat(PQ.read_events(t.spark, out))
 
 
-@query("stream_templates")
-def stream_templates(t):
-    out, mark = t.new_path("stream"), t.new_path("checkpoint")
+def landed_in_order(t, slices: int = 4, files: int = 2) -> str:
+    """Lines as files in a landing folder, slice after slice of every dataset by id."""
+    path = t.new_path("landing")
+    lines = t.lines.select("dataset", "dialect", "source_id", "source_line", "id", "line")
+    width = F.ceil(t.events.agg(F.max("id")).first()[0] / F.lit(slices))
+    for k in range(slices):
+        lines.filter(F.ceil(F.col("id") / width) == k + 1).repartition(files).write.mode("append").parquet(path)
+    return path
 
-    def append(batch, _):
-        batch.write.mode("append").parquet(out)
 
-    J.start_batches(J.stream_templates(stream_events(t)), append, mark).awaitTermination()
-    return t.spark.read.parquet(out)
+@query("stream_templates", chain("""
+SELECT dataset, template, substr(md5(founder), 1, 10) AS template_id, cluster_template FROM clustered""", "clustered"))
+def stream_templates(t):
+    """Lines that land in order, four batches: the clusters are those of one pass over all of them."""
+    out, mark = t.new_path("stream"), t.new_path("checkpoint")
+    lines = J.read_lines(t.spark, landed_in_order(t), files_per_trigger=2)
+    J.start_templates(J.parse_stream(lines, YEAR), out, mark).awaitTermination()
+    return J.stream_templates(t.spark, out)
 
 
 @query("stream_scored")
@@ -116,10 +126,6 @@ SELECT dataset, template_id, (min(timestamp_epoch) * 1000000)::BIGINT AS start_u
 @query("session_incidents", chain(_SESSIONS, "stateless"))
 def session_incidents(t):
     out, mark = t.new_path("stream"), t.new_path("checkpoint")
-
-    def publish(batch, _):
-        batch.write.mode("overwrite").parquet(out)
-
     sessions = J.session_incidents(stream_events(t).filter("is_anomaly"))
-    J.start_batches(sessions, publish, mark, mode="complete").awaitTermination()
-    return t.spark.read.parquet(out)
+    J.start_published(sessions, "sessions", out, mark).awaitTermination()
+    return read_published(t.spark, out, "sessions")

@@ -7,25 +7,23 @@ nothing is published twice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from timberline.functions import masking as M
-from timberline.functions import patterns as P
 from timberline.functions import scores as S
 from timberline.functions.text import half_up, shortened, two_decimals
 from timberline.operators.incremental import with_identity
 from timberline.operators.normalize import normalize
 from timberline.operators.ordering import number_in_order, with_offsets
 from timberline.operators.scoring import score_core, score_stateless
-from timberline.operators.templates import SIMILARITY, LeafMatcher
+from timberline.operators.templates import (
+    CHILDREN, LEAF, MAX_CHILDREN, SIMILARITY, grow_clusters, masked_texts, template_leaves, tree_children,
+)
 from timberline.sources.parquet import append_events, save_events, to_stored
+from timberline.sources.published import Published
 from timberline.sources.text import number_lines, path_exists, valid_text
 from timberline.session import cut, scratch
 
@@ -151,13 +149,19 @@ def bulk_incidents(sketches: DataFrame, most: int | None = None) -> DataFrame:
     )
 
 
-def start_sketch(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the sketch table up to date: each batch publishes the running totals."""
+def start_published(results: DataFrame, name: str, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keep a published table up to date with a running result: every batch is a version of its own, so a batch that
+    fails leaves the version before, and one that is replayed changes nothing."""
 
-    def publish(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def publish(batch: DataFrame, number: int) -> None:
+        Published(batch.sparkSession, path).publish(replace={name: batch}, stream=checkpoint, batch=number)
 
-    return start_batches(incident_sketch(events), publish, checkpoint, mode="complete")
+    return start_batches(results, publish, checkpoint, mode="complete", available_now=available_now)
+
+
+def start_sketch(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the published table ``sketch`` up to date: each batch publishes the running totals."""
+    return start_published(incident_sketch(events), "sketch", path, checkpoint)
 
 
 def uniform_preview(events: DataFrame, most: int, seed: int = 42) -> DataFrame:
@@ -182,48 +186,77 @@ def uniform_preview(events: DataFrame, most: int, seed: int = 42) -> DataFrame:
 # --------------------------------------------------------------------------- #
 # Templates with state
 # --------------------------------------------------------------------------- #
-TEMPLATE_UPDATE = "dataset string, template string, template_id string, cluster_template string"
-
-
-def stream_templates(events: DataFrame, st: float = SIMILARITY) -> DataFrame:
-    """Template clusters kept across micro-batches and restarts.
+_LEAF = "dataset string, n_tokens int, key1 string, key2 string"
+TEXTS = f"{_LEAF}, template string, first_id long, founder string, seq int"
+CLUSTERS = f"{_LEAF}, seq int, founder string, template string, version long"
 
-    A masked text is handed on once (its repeats are dropped by a state spread
-    over all tasks), so a hot template does not load its leaf. Leaves are named
-    by length and first two tokens; the limit on children per node, which needs
-    the order of the whole corpus, applies in the batch job only.
-    """
-    tokens = F.split("template", " ")
 
-    def routed(at: int):
-        token = F.try_element_at(tokens, F.lit(at))
-        return F.coalesce(F.when(M.is_mark(token), P.WILDCARD).otherwise(token), F.lit(""))
+def start_templates(
+    events: DataFrame, path: str, checkpoint: str, st: float = SIMILARITY, max_children: int = MAX_CHILDREN,
+    head: int = 20000, available_now: bool = True,
+) -> StreamingQuery:
+    """Template clusters kept across micro-batches and restarts, published under ``path``.
 
-    texts = events.filter(F.col("template") != P.EMPTY_TEMPLATE).select("dataset", "id", "template")
-    texts = texts.dropDuplicates(["dataset", "template"]).select(
-        "dataset", "id", "template", F.size(tokens).alias("n_tokens"),
-        routed(1).alias("key1"), routed(2).alias("key2"),
-    )
+    The tree is three published tables: the masked texts seen, the children of its nodes, and its clusters. A batch
+    takes the texts nobody saw before, routes them through the nodes as they are (the limit on children holds
+    for the whole stream), and lets them join the clusters of their leaves by the batch operator,
+    which clusters a hot leaf in groups of bounded size. Only clusters that changed are written.
+    Texts come in the order of batches, and of ids inside a batch: a stream that delivers lines in order
+    ends with the clusters of one batch job over all lines.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        clusters = LeafMatcher(st, *state.get) if state.exists else LeafMatcher(st)
-        rows = pd.concat(list(batches)).sort_values("id")
-        at = clusters.settle(rows.template)
-        templates = clusters.templates
-        state.update((templates, clusters.founders))
-        yield pd.DataFrame(
-            {
-                "dataset": rows.dataset.to_numpy(), "template": rows.template.to_numpy(),
-                "founder": [clusters.founders[i] for i in at],
-                "cluster_template": [templates[i] for i in at],
-            }
-        )
+    The tables grow with the distinct masked texts, not with the events. Lines without tokens are in no cluster.
+    """
 
-    found = texts.groupBy("dataset", "n_tokens", "key1", "key2").applyInPandasWithState(
-        step, "dataset string, template string, founder string, cluster_template string",
-        "templates array<string>, founders array<string>", "append", GroupStateTimeout.NoTimeout,
-    )
-    return found.select(
+    def grow(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        store = Published(spark, path)
+        if store.done(checkpoint, number):
+            return
+        with scratch(spark):
+            seen = store.read("texts", TEXTS).select("dataset", "template")
+            texts = cut(masked_texts(batch).join(seen, ["dataset", "template"], "left_anti"), "texts")
+            if texts.isEmpty():
+                store.publish(stream=checkpoint, batch=number)
+                return
+            known = store.read("children", CHILDREN)
+            leaves = cut(template_leaves(texts, max_children, known), "leaves")
+            held = _clusters_now(store).join(leaves.select(*LEAF).distinct(), LEAF, "left_semi")
+            held = cut(held.select(*LEAF, F.lit("state").alias("kind"), "template", F.lit(0).cast("long").alias("first_id"), "founder", "seq"), "held")
+            joined, state = grow_clusters(leaves, st, head, held)
+            same = held.select(*LEAF, "seq", "template")
+            changed = state.join(same, [*LEAF, "seq", "template"], "left_anti").withColumn("version", F.lit(number).cast("long"))
+            store.publish(
+                extend={
+                    "texts": joined.select(*(c.split()[0] for c in TEXTS.split(", "))),
+                    "children": _new_children(tree_children(leaves), known),
+                    "clusters": changed.select(*(c.split()[0] for c in CLUSTERS.split(", "))),
+                },
+                stream=checkpoint, batch=number,
+            )
+
+    return start_batches(events.select("dataset", "id", "template"), grow, checkpoint, available_now=available_now)
+
+
+def _new_children(children: DataFrame, known: DataFrame) -> DataFrame:
+    """Those not known yet; a null ``key1`` (first layer) is a value like others."""
+    old = known.select(*(F.col(c).alias(f"_{c}") for c in known.columns))
+    same = F.lit(True)
+    for c in known.columns:
+        same = same & children[c].eqNullSafe(old[f"_{c}"])
+    return children.join(old, same, "left_anti")
+
+
+def _clusters_now(store: Published) -> DataFrame:
+    """The last state of every cluster: each batch wrote those it changed."""
+    last = F.max_by(F.struct("founder", "template"), "version").alias("c")
+    return store.read("clusters", CLUSTERS).groupBy(*LEAF, "seq").agg(last).select(*LEAF, "seq", "c.founder", "c.template")
+
+
+def stream_templates(spark: SparkSession, path: str) -> DataFrame:
+    """``(dataset, template, template_id, cluster_template)`` of every text that the stream has published."""
+    store = Published(spark, path)
+    clusters = _clusters_now(store).withColumnRenamed("template", "cluster_template").drop("founder")
+    return store.read("texts", TEXTS).join(clusters, [*LEAF, "seq"]).select(
         "dataset", "template", M.template_id_of(F.col("founder")).alias("template_id"), "cluster_template"
     )
 
