@@ -19,6 +19,7 @@ no group holds more than two elements. Decoding concatenates up the same tree.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,11 @@ class TokenTree:
     def _fits(self, a: int, b: int) -> bool:
         return self.base(self.bytes_of(a) + self.bytes_of(b)) == [a, b]
 
-    def pieces(self, strings: list[str]) -> list[list[int]]:
-        return [self.piece(s.encode("utf-8", "surrogatepass")) for s in strings]
+    def pieces(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after the other, and how many each has."""
+        lists = [self.piece(s.encode("utf-8", "surrogatepass")) for s in strings]
+        n = np.fromiter(map(len, lists), np.int32, len(lists))
+        return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(n.sum())), n
 
     def piece(self, data: bytes) -> list[int]:
         if len(data) <= LONG_PIECE:

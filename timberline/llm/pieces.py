@@ -130,19 +130,22 @@ class Pieces:
         return [self.joined[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
 
 
-def _unlike(codes: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which stretches ``codes[start : start + size]`` differ somewhere from ``other[at : at + size]``."""
-    ends = np.cumsum(size)
-    step = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
-    wrong = codes[np.repeat(start, size) + step] != other[np.repeat(at, size) + step]
-    out = np.zeros(len(size), bool)
-    if wrong.any():
-        out[np.searchsorted(ends, np.flatnonzero(wrong), "right")] = True
-    return out
+def _unlike(pieces: Pieces, letters: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Numbers of the pieces that differ somewhere from ``letters`` at ``place`` (one for each) on."""
+    codes, start = pieces.codes, pieces.start
+    low = int(start[0])
+    at = np.repeat(place - start, np.diff(np.append(start, len(codes))))
+    at += np.arange(low, len(codes))
+    wrong = np.flatnonzero(letters.take(at, mode="clip") != codes[low:]) + low
+    piece = np.searchsorted(start, wrong, "right") - 1
+    return np.unique(piece[wrong < pieces.end[piece]])  # what stands between pieces is no letter
 
 
 class PieceIds:
-    """Ids of pieces, each distinct one encoded once; emptied when it holds more than ``most`` pieces."""
+    """Ids of pieces, each distinct one encoded once; emptied when it holds more than ``most`` pieces.
+
+    ``encode`` gives the ids of some pieces one after the other, and their numbers.
+    """
 
     def __init__(self, encode, most: int = 500_000):
         self.encode, self.most = encode, most
@@ -159,9 +162,7 @@ class PieceIds:
 
     def _encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Append the ids of ``strings`` to ``flat``: where each begins, and how many there are."""
-        lists = self.encode(strings)
-        n = np.fromiter(map(len, lists), np.int32, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(n.sum()))
+        flat, n = self.encode(strings)
         begin = len(self.flat) + np.cumsum(n) - n
         self.flat = np.concatenate([self.flat, flat])
         return begin, n
@@ -192,12 +193,10 @@ class PieceIds:
             at = np.searchsorted(self.key, value)
         # A piece whose hash meets one of other letters is encoded on its own.
         held = at[back]
-        wrong = self.size[held] != size
-        same = np.flatnonzero(~wrong)
-        wrong[same] = _unlike(codes, start[same], size[same], self.letters, self.place[held[same]])
         where, n = self.at[held], self.n[held]
-        if wrong.any():
-            where[wrong], n[wrong] = self._encoded(pieces.strings(np.flatnonzero(wrong)))
+        wrong = np.union1d(_unlike(pieces, self.letters, self.place[held]), np.flatnonzero(self.size[held] != size))
+        if len(wrong):
+            where[wrong], n[wrong] = self._encoded(pieces.strings(wrong))
         return where, n
 
     def ids(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -277,13 +276,14 @@ def library_cache(path: str) -> PieceIds:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def encode(pieces: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in pieces]
+    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, n = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for low in range(0, len(pieces), 4096):
-            got = tokenizer.encode(pieces[low : low + 4096], is_pretokenized=True, add_special_tokens=False)
-            for owner, token in zip(got.word_ids, got.ids, strict=True):
-                out[low + owner].append(token)
-        return out
+            part = pieces[low : low + 4096]
+            got = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            flat.append(np.array(got.ids, np.int32))
+            n.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)).astype(np.int32))
+        return np.concatenate(flat), np.concatenate(n)
 
     return PieceIds(encode)
 

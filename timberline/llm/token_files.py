@@ -144,11 +144,10 @@ def write_ids(ordered: DataFrame, path: str) -> None:
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                own = np.bincount(np.frombuffer(ids, "<u4"))
-                if len(own) > len(total):
-                    total = np.pad(total, (0, len(own) - len(total)))
-                total[: len(own)] += own
+            own = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4"))
+            if len(own) > len(total):
+                total = np.pad(total, (0, len(own) - len(total)))
+            total[: len(own)] += own
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
