@@ -13,6 +13,7 @@ from timberline.functions.text import strip
 from timberline.operators.correlate import SLACK, incident_entities, incident_services
 from timberline.operators.ordering import BLOCK, number_densely, number_in_order, with_last
 from timberline.session import cut
+from timberline.sources.directory import not_stored
 
 def with_identity(lines: DataFrame) -> DataFrame:
     return lines.withColumn(
@@ -27,6 +28,12 @@ def unseen_lines(lines: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.join(known.select("event_id"), "event_id", "left_anti")
 
 
+def unseen_in_store(lines: DataFrame, path: str) -> DataFrame:
+    """:func:`unseen_lines` against a stored table: reads only the files that may hold one of the lines."""
+    fresh = with_identity(lines.filter(strip(F.col("line")) != "")).dropDuplicates(["event_id"])
+    return not_stored(lines.sparkSession, path, fresh)
+
+
 def continue_ids(lines: DataFrame, high_water: DataFrame, order: Sequence[str] = ("source_id", "source_line")) -> DataFrame:
     """Dense ids after the highest stored one, by source and line; ``high_water(dataset, last_id)``."""
     numbered = number_in_order(lines.drop("id"), ["dataset"], [F.asc(name) for name in order], "_n")

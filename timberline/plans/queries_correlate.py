@@ -16,6 +16,7 @@ from timberline.plans import oracle_pipeline as OP
 from timberline.plans.oracle_base import chain, cte, half_up, q
 from timberline.plans.registry import query
 from timberline.session import cut
+from timberline.sources import parquet as PQ
 
 
 def six(column: str):
@@ -283,6 +284,13 @@ def unseen_events(t):
     return I.unseen_lines(t.lines, t.slice(False)).select("dataset", "source_line", "event_id")
 
 
+@query("unseen_in_store", chain("SELECT dataset, source_line, event_key AS event_id FROM parsed_2", "parsed_2"))
+def unseen_in_store(t):
+    path = t.new_path("store")
+    PQ.save_events(SC.score_stateless(t.slice(False)), path)
+    return I.unseen_in_store(t.lines, path).select("dataset", "source_line", "event_id")
+
+
 @query("events_union", chain("SELECT dataset, id, event_key AS event_id FROM parsed", "parsed"))
 def events_union(t):
     return I.events_union(t.slice(False), t.slice(True)).select("dataset", "id", "event_id")

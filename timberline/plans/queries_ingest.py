@@ -11,6 +11,7 @@ from timberline.plans.fixture import YEAR
 from timberline.plans.oracle_base import chain, cte
 from timberline.plans.registry import query
 from timberline.sources import corpus as CO
+from timberline.sources import directory as D
 from timberline.sources import parquet as PQ
 from timberline.sources import text as TX
 
@@ -137,6 +138,28 @@ def slice_read(t):
     )
 
 
+@query("slice_read_deep", chain("""
+SELECT dataset, id, level, message FROM parsed ORDER BY dataset, id LIMIT 50 OFFSET (SELECT count(*) * 9 // 10 FROM parsed)""", "parsed"))
+def slice_read_deep(t):
+    """A page at nine tenths of the store: one file or two are opened, and the ids skipped to."""
+    path = t.new_path("store")
+    PQ.save_events(t.events, path)
+    return PQ.read_slice(t.spark, path, t.events.count() * 9 // 10, 50).select("dataset", "id", "level", "message")
+
+
+@query("store_directory", chain("""
+SELECT dataset, source_id, count(*) AS rows, min(source_line) AS low_line, max(source_line) AS high_line, min(id) AS low_id, max(id) AS high_id
+FROM parsed GROUP BY 1, 2""", "parsed"))
+def store_directory(t):
+    path = t.new_path("store")
+    PQ.save_events(t.slice(False), path)
+    D.refresh(t.spark, path)
+    PQ.save_events(t.slice(True), path, mode="append")
+    return D.refresh(t.spark, path).groupBy("dataset", "source_id").agg(
+        F.sum("rows").alias("rows"), F.min("low_line").alias("low_line"), F.max("high_line").alias("high_line"),
+        F.min("low_id").alias("low_id"), F.max("high_id").alias("high_id"))
+
+
 @query("raw_bytes", chain("SELECT dataset, sum(strlen(raw) + 1)::BIGINT AS raw_bytes, count(*) AS row_count FROM parsed GROUP BY 1", "parsed"))
 def raw_bytes(t):
     return TX.raw_bytes(t.events, per_line=1)

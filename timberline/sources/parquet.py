@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions.parsing import ENTITY_TYPE
 from timberline.functions.text import half_up
+from timberline.sources.directory import not_stored, page_files
 from timberline.sources.text import path_exists, require_path
 
 STORED_SCHEMA = (
@@ -84,12 +86,12 @@ def unstored(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """Add rows whose identity is new; stored rows keep their place and values."""
-    spark = events.sparkSession
-    fresh = events
-    if path_exists(spark, path):
-        fresh = unstored(events, read_events(spark, path))
-    save_events(fresh, path, mode="append")
+    """Add rows whose identity is new; stored rows keep their place and values.
+
+    Stored identities are read from the files that may hold one of the new ones (:mod:`timberline.sources.directory`),
+    however large the store has grown.
+    """
+    save_events(not_stored(events.sparkSession, path, events), path, mode="append")
 
 
 def parse_entities(stored: DataFrame) -> DataFrame:
@@ -118,11 +120,31 @@ def timed_flag_scan(spark: SparkSession, path: str) -> dict:
     }
 
 
+#: Up to so many rows, a page is put in order by one task.
+PAGE_ROWS = 100_000
+
+
 def read_slice(spark: SparkSession, path: str, offset: int = 0, limit: int = 50) -> DataFrame:
-    """Rows [offset, offset + limit) in stored order, entities decoded; none past the end."""
-    if not path_exists(spark, path):
+    """Rows [offset, offset + limit) in stored order, entities decoded; none past the end.
+
+    The directory names the files that hold them. Where their ids have no gaps, the rows are those of a range of
+    ids, which the scan skips to; else the rows of those files (and of no others) are sorted.
+    """
+    stretches, first = page_files(spark, path, offset, limit) if path_exists(spark, path) else ([], 0)
+    if not stretches:
         return parse_entities(spark.createDataFrame([], "dataset string, " + STORED_SCHEMA))
-    return parse_entities(read_events(spark, path).orderBy("dataset", "id").offset(offset).limit(limit))
+    at = [f"{path.rstrip('/')}/{unquote(f)}" for s in stretches for f in s["files"]]
+    rows = upgrade(spark.read.option("mergeSchema", "true").option("basePath", path.rstrip("/")).parquet(*at))
+    if all(s["high"] - s["low"] + 1 == s["rows"] for s in stretches):
+        wanted = F.lit(False)
+        for s in stretches:
+            low = s["low"] + max(0, offset - s["before"])
+            wanted = wanted | ((F.col("dataset") == s["dataset"]) & F.col("id").between(low, s["low"] + offset + limit - s["before"] - 1))
+        rows = rows.filter(wanted)
+        rows = rows.coalesce(1).sortWithinPartitions("dataset", "id") if limit <= PAGE_ROWS else rows.orderBy("dataset", "id")
+    else:
+        rows = rows.orderBy("dataset", "id").offset(offset - first).limit(limit)
+    return parse_entities(rows)
 
 
 def storage_stats(raw: DataFrame, spark: SparkSession, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from timberline.functions import masking as M
 from timberline.functions import scores as S
 from timberline.functions.text import half_up, shortened, two_decimals
-from timberline.operators.incremental import with_identity
+from timberline.operators.incremental import unseen_in_store
 from timberline.operators.normalize import normalize
 from timberline.operators.ordering import number_in_order, with_offsets
 from timberline.operators.scoring import score_core, score_stateless
@@ -264,27 +264,19 @@ def stream_templates(spark: SparkSession, path: str) -> DataFrame:
 # --------------------------------------------------------------------------- #
 # Idempotent ingest
 # --------------------------------------------------------------------------- #
-def start_dedupe(lines: DataFrame, path: str, checkpoint: str, year: int | None = None, watermark: tuple[str, str] | None = None) -> StreamingQuery:
+def start_dedupe(lines: DataFrame, path: str, checkpoint: str, year: int | None = None, available_now: bool = True) -> StreamingQuery:
     """Append only lines whose identity was never stored.
 
-    Repeats inside the stream are dropped by state (bounded when a watermark
-    column and delay are given), repeats of stored rows by an anti-join that
-    comes before parsing.
+    The store itself is the memory: a batch drops its own repeats and the lines that the store holds, before parsing, and reads
+    stored identities only from the files that may hold one. No state grows with the stream, and a batch that runs again
+    after a failure finds what it had stored.
     """
-    lines = with_identity(lines)
-    if watermark:
-        lines = lines.withWatermark(*watermark).dropDuplicatesWithinWatermark(["event_id"])
-    else:
-        lines = lines.dropDuplicates(["event_id"])
 
     def append(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        if path_exists(spark, path):
-            known = spark.read.parquet(path).select("event_id")
-            batch = batch.join(known, "event_id", "left_anti")
-        save_events(score_stateless(normalize(batch.drop("event_id"), "dialect", year)), path, "append")
+        fresh = unseen_in_store(batch, path).drop("event_id")
+        save_events(score_stateless(normalize(fresh, "dialect", year)), path, "append")
 
-    return start_batches(lines, append, checkpoint)
+    return start_batches(lines, append, checkpoint, available_now=available_now)
 
 
 def start_scored(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
