@@ -46,7 +46,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_columns(found: DataFrame) -> DataFrame:
-    return found.select("doc.doc_id", "n_lines", "n_dropped", "text")
+    return found.select("doc.doc_id", "n_lines", "n_dropped", "text", "classes")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
