@@ -105,3 +105,34 @@ def test_streamed_templates_equal_one_batch_with_a_child_limit(spark, tmp_path):
     want = T.cluster_templates(T.template_leaves(T.masked_texts(events), 3))
     got = {r.template: r.cluster_template for r in J.stream_templates(spark, out).collect()}
     assert got == {r.template: r.cluster_template for r in want.collect()} and len(got) > 100
+
+
+def test_streamed_runs_equal_the_batch(spark, tmp_path):
+    from timberline.functions.parsing import ENTITY_TYPE
+    from timberline.operators import correlate as C
+    from timberline.streaming import runs as R
+
+    schema = ("dataset string, id long, template_id string, timestamp_epoch double, service string, host string, "
+              f"entities {ENTITY_TYPE}, anomaly_score double, is_anomaly boolean")
+    rng, rows, now = random.Random(8), [], 0.0
+    for n in range(1, 200):
+        now += rng.choice([0, 1, 50, 299, 300, 301, 900])
+        entities = (rng.choice([None, "blk_1", "blk_2"]), None, None, None, None, None, None)
+        rows.append(("d", n, rng.choice(["t1", "t2"]), now + rng.choice([0, 0, 200]), "s", "h", entities, 0.9, True))
+    landing, out, mark = (str(tmp_path / n) for n in ("landing", "out", "mark"))
+    for part in (rows[:70], rows[70:140], rows[140:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(landing)
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    R.start_runs(events, out, mark, delay=900).awaitTermination()
+    batch = C.assign_runs(C.with_entity_keys(spark.createDataFrame(rows, schema)))
+    want = batch.groupBy("dataset", "template_id", "run_id").agg(
+        F.min("timestamp_epoch").alias("start_epoch"), F.max("timestamp_epoch").alias("end_epoch"), F.count(F.lit(1)).alias("n_events"))
+    got = R.stream_runs(spark, out)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert got.filter("is_open").count() == 2 and got.filter("NOT is_open").count() > 10
+    assert read_published(spark, out, "late").count() == 0
+    # What comes after its slice was final is kept apart.
+    spark.createDataFrame([("d", 999, "t1", 1.0, "s", "h", rows[0][6], 0.9, True)], schema).coalesce(1).write.mode("append").parquet(landing)
+    R.start_runs(events, out, mark, delay=900).awaitTermination()
+    assert [r.id for r in read_published(spark, out, "late").collect()] == [999]
+    assert sorted(map(tuple, R.stream_runs(spark, out).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))

@@ -93,10 +93,14 @@ def test_text_stream_restarts_without_repeats(spark, tmp_path):
 
 
 def test_corpora_and_truth(spark, tmp_path):
-    assert CO.get_corpus(" HDFS ")["key"] == "hdfs"
-    assert CO.list_domains() == ["distributed_systems", "operating_systems", "supercomputing"]
-    with pytest.raises(KeyError):
-        CO.get_corpus("nope")
+    short, full = tmp_path / "short.log", tmp_path / "full.log"
+    short.write_text("a\n\nb\n")
+    assert [(r.dataset, r.id, r.source_line, r.line) for r in CO.read_raw(spark, "x", str(short), other_paths=(str(full),)).orderBy("id").collect()] == [
+        ("x", 1, 1, "a"), ("x", 2, 3, "b")]
+    full.write_text("c\n")
+    assert [r.line for r in CO.read_raw(spark, "x", str(short), other_paths=(str(full),)).collect()] == ["c"]
+    with pytest.raises(FileNotFoundError):
+        CO.read_raw(spark, "x", str(tmp_path / "none.log"))
     assert CO.read_structured(spark, str(tmp_path / "no.csv")).columns == ["LineId", "Time", "Level", "Content", "EventTemplate"]
 
 

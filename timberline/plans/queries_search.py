@@ -41,13 +41,12 @@ def tfidf_search(t):
 SELECT query_id, vec_id, score, rank FROM (
  SELECT *, {half_up('cosine', 3)} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {half_up('cosine', 9)} DESC, vec_id) AS rank FROM (
   SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS cosine
-  FROM embeddings v, (SELECT min(vec_id) AS qid FROM embeddings GROUP BY label) m JOIN embeddings q ON q.vec_id = m.qid) WHERE cosine > 0.01)
+  FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) WHERE cosine > 0.01)
 WHERE rank <= 3""")
 def dense_search(t):
-    """The first vector of every label asks, all vectors answer."""
+    """Every vector whose id is divisible by 100 asks, all vectors answer."""
     vectors = t.table("embeddings")
-    asking = vectors.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    queries = vectors.join(asking.select("vec_id"), "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return R.search(queries, vectors=vectors).withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -12,6 +12,7 @@ from timberline.plans.registry import query
 from timberline.sources import parquet as PQ
 from timberline.sources.published import read_published
 from timberline.streaming import jobs as J
+from timberline.streaming import runs as SR
 
 
 def landed(t, parts: int = 4, twice: bool = False) -> str:
@@ -35,6 +36,24 @@ def stream_ingest(t):
     return _flat(PQ.read_events(t.spark, out))
 
 
+@query("stream_progress", chain("""
+SELECT count(*) AS lines, (sum(strlen(raw) + 1))::BIGINT AS bytes, count(*) FILTER (is_anomaly) AS anomalies, 100.0::DOUBLE AS percent, true AS several_batches
+FROM stateless""", "stateless"))
+def stream_progress(t):
+    """What the counters of a finished ingest add up to."""
+    out, mark, watch = t.new_path("stream"), t.new_path("checkpoint"), t.new_path("progress")
+    log = J.ProgressLog(t.spark, watch)
+    t.spark.streams.addListener(log)
+    try:
+        run = J.start_ingest(J.observed(stream_events(t)), out, mark)
+        run.awaitTermination()
+        log.wait(run)
+    finally:
+        t.spark.streams.removeListener(log)
+    total = t.stateless.agg(F.sum(F.octet_length("raw") + 1)).first()[0]
+    return J.progress_numbers(t.spark, watch, total).select("lines", "bytes", "anomalies", "percent", (F.col("batches") > 1).alias("several_batches"))
+
+
 cte_sql = f"""
 SELECT dataset, template_id, {OP.ACTOR} AS actor, count(*) AS count, max(anomaly_score) AS peak_score, arg_min(timestamp, id) AS first_timestamp,
  arg_max(timestamp, id) AS last_timestamp, arg_min(service, id) AS service FROM stateless WHERE is_anomaly GROUP BY ALL"""
@@ -108,11 +127,36 @@ def stream_templates(t):
     return J.stream_templates(t.spark, out)
 
 
-@query("stream_scored")
+_QUARTERS = [f"_quarter{k}" for k in range(1, 5)]
+for _k, _name in enumerate(_QUARTERS, 1):
+    OP.cte(f"lines{_name}", f"SELECT * FROM parsed WHERE ceil(id / ceil((SELECT max(id) FROM parsed) / 4)) = {_k}", "parsed")
+    OP.score_blocks(_name, f"lines{_name}")
+
+
+@query("stream_scored", chain(
+    " UNION ALL ".join(f"SELECT dataset, id, anomaly_score::FLOAT::DOUBLE AS anomaly_score, is_anomaly FROM scored{n}" for n in _QUARTERS),
+    *(f"scored{n}" for n in _QUARTERS)))
 def stream_scored(t):
+    """Lines that land in order, four batches, each scored by its own statistics."""
     out, mark = t.new_path("stream"), t.new_path("checkpoint")
-    J.start_scored(stream_events(t, parts=2), out, mark).awaitTermination()
-    return PQ.read_events(t.spark, out).select("dataset", "id", "anomaly_score", "is_anomaly")
+    lines = J.read_lines(t.spark, landed_in_order(t), files_per_trigger=2)
+    J.start_scored(J.parse_stream(lines, YEAR), out, mark).awaitTermination()
+    return PQ.read_events(t.spark, out).select("dataset", "id", F.col("anomaly_score").cast("double").alias("anomaly_score"), "is_anomaly")
+
+
+OP.cte("scored_stream", "SELECT * FROM stateless", "stateless")
+OP.correlate_blocks("_stream")
+
+
+@query("stream_runs", chain("""
+SELECT dataset, template_id, run_id, min(timestamp_epoch) AS start_epoch, max(timestamp_epoch) AS end_epoch, count(*) AS n_events, max(anomaly_score) AS peak
+FROM runs_stream GROUP BY 1, 2, 3""", "runs_stream"))
+def stream_runs(t):
+    """Runs of lines that land in order, four batches; shared actors bridge gaps as in a batch job."""
+    out, mark = t.new_path("stream"), t.new_path("checkpoint")
+    lines = J.read_lines(t.spark, landed_in_order(t), files_per_trigger=2)
+    SR.start_runs(J.parse_stream(lines, YEAR), out, mark).awaitTermination()
+    return SR.stream_runs(t.spark, out).drop("is_open")
 
 
 _SESSIONS = """

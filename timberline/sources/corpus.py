@@ -1,13 +1,10 @@
-"""Known corpora, file inventories, ground truth and corpus growth."""
+"""Raw corpora, file inventories, ground truth and corpus growth."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.functions import patterns as P
 from timberline.operators.ordering import BLOCK, number_densely
 from timberline.sources.text import load_file, path_exists, require_path
 
@@ -15,38 +12,12 @@ TRUTH_SCHEMA = "LineId long, Time string, Level string, Content string, EventTem
 TRUTH_TEMPLATE_SCHEMA = "EventId string, EventTemplate string"
 
 
-def list_corpora(domain: str | None = None) -> list[str]:
-    return [c[0] for c in P.CORPORA if domain is None or c[2] == domain]
-
-
-def list_domains() -> list[str]:
-    return sorted({c[2] for c in P.CORPORA})
-
-
-def get_corpus(name: str) -> dict:
-    for key, label, domain, file, other in P.CORPORA:
-        if key == name.lower().strip():
-            return {"key": key, "name": label, "domain": domain, "file": file, "other_file": other}
-    raise KeyError(f"unknown corpus {name!r}; known: {', '.join(list_corpora())}")
-
-
-def corpus_path(spark: SparkSession, name: str, base: str) -> str:
-    """Main file of a corpus, or its other location when only that exists."""
-    entry = get_corpus(name)
-    main = os.path.join(base, entry["file"])
-    if entry["other_file"] and not path_exists(spark, main):
-        other = os.path.join(base, entry["other_file"])
-        if path_exists(spark, other):
-            return other
-    return main
-
-
 def read_raw(
-    spark: SparkSession, name: str, base: str, max_lines: int | None = None, full_path: str | None = None
+    spark: SparkSession, dataset: str, path: str, max_lines: int | None = None, other_paths: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Numbered lines of a corpus; the full file is taken where it is there."""
-    path = full_path if full_path and path_exists(spark, full_path) else corpus_path(spark, name, base)
-    return load_file(spark, require_path(spark, path), max_lines, get_corpus(name)["key"])
+    """Numbered lines of a corpus: of the first of ``other_paths`` that is there (a full file), else of ``path``."""
+    found = next((p for p in other_paths if path_exists(spark, p)), path)
+    return load_file(spark, require_path(spark, found), max_lines, dataset)
 
 
 def list_bulk_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,10 +7,12 @@ nothing is published twice.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from timberline.functions import masking as M
 from timberline.functions import scores as S
@@ -325,15 +327,56 @@ def observed(events: DataFrame, name: str = "ingest") -> DataFrame:
     )
 
 
-def progress_numbers(query: StreamingQuery, total_bytes: int | None = None) -> dict:
-    """Lines so far, lines per second and (with the input size) percent done."""
-    batches = query.recentProgress
-    lines = sum(p.numInputRows for p in batches)
-    seconds = sum(p.durationMs.get("triggerExecution", 0) for p in batches) / 1000
-    done = {"lines": lines, "lines_per_sec": lines / max(0.001, seconds)}
-    seen = [p.observedMetrics for p in batches if p.observedMetrics]
-    size = sum(row["bytes"] or 0 for metrics in seen for row in metrics.values())
-    done["bytes_per_sec"] = size / max(0.001, seconds)
-    if total_bytes:
-        done["percent"] = min(100.0, 100.0 * size / total_bytes)
-    return done
+PROGRESS = "stream string, batch long, lines long, bytes long, anomalies long, millis long"
+
+
+class ProgressLog(StreamingQueryListener):
+    """Writes the counters of every finished batch to the published table ``progress``, for whoever watches.
+
+    Counts the batches of streams that carry :func:`observed` counters under ``name``; a batch
+    reported twice is written once. ``spark.streams.addListener(log)`` starts it, :meth:`wait` returns when a stopped
+    query's last report has been written.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, name: str = "ingest"):
+        super().__init__()
+        self.spark, self.name, self.store = spark, name, Published(spark, path)
+        self.ended: set[str] = set()
+        self.change = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        counts = (progress.observedMetrics or {}).get(self.name)
+        if counts is None:
+            return
+        took = int((progress.durationMs or {}).get("triggerExecution", 0))
+        row = (str(progress.id), progress.batchId, counts["lines"], counts["bytes"] or 0, counts["anomalies"], took)
+        rows = self.spark.createDataFrame([row], PROGRESS).coalesce(1)
+        self.store.publish(extend={"progress": rows}, stream=f"progress of {progress.id}", batch=progress.batchId)
+
+    def onQueryTerminated(self, event) -> None:
+        with self.change:
+            self.ended.add(str(event.id))
+            self.change.notify_all()
+
+    def wait(self, query: StreamingQuery, seconds: float = 60) -> bool:
+        with self.change:
+            return self.change.wait_for(lambda: str(query.id) in self.ended, seconds)
+
+
+def progress_numbers(spark: SparkSession, path: str, total_bytes: int | None = None) -> DataFrame:
+    """Per stream: batches, lines, bytes and anomalies so far, rates, and (with the input's size) percent done."""
+    rows = Published(spark, path).read("progress", PROGRESS)
+    seconds = F.greatest(F.lit(0.001), F.sum("millis") / 1000)
+    size = F.coalesce(F.sum("bytes"), F.lit(0))
+    percent = F.least(F.lit(100.0), 100.0 * size / F.lit(total_bytes)) if total_bytes else F.lit(None).cast("double")
+    return rows.groupBy("stream").agg(
+        F.count(F.lit(1)).alias("batches"), F.sum("lines").alias("lines"), size.alias("bytes"), F.sum("anomalies").alias("anomalies"),
+        (F.sum("lines") / seconds).alias("lines_per_sec"), (size / seconds).alias("bytes_per_sec"), percent.alias("percent"),
+    )
