@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -32,6 +33,15 @@ def test_banded_distance_on_long_lines():
             assert L.within(a, b, most) == (distance(a, b) <= most)
 
 
+def test_very_long_lines_take_linear_time():
+    rnd = random.Random(3)
+    a = "".join(rnd.choice("abcdefgh ") for _ in range(1_000_000))
+    b = "x" + a[1:500_000] + "y" + a[500_000:-1] + "zz"
+    begin = time.time()
+    assert not L.within(a, b, 2) and L.within(a, "x" + a[1:-1] + "z", 2) and L.within(a, a[:5] + a[6:] + "q", 2)
+    assert time.time() - begin < 20
+
+
 def change(rnd, text, edits):
     text = list(text)
     for _ in range(edits):
@@ -89,6 +99,37 @@ def plain(rows):
     return {r: None if r[1] is None else "\n".join(x for at, x in enumerate(r[1].split("\n")) if at not in drops.get(r, ())) for r in rows}
 
 
+def plain_classes(rows):
+    """Per distinct row: (line, document and line where its class begins, links) of every line with a copy or an alike line."""
+    import hashlib
+    from collections import Counter
+
+    lines = [(d, hashlib.md5((t or "").encode()).digest(), at, line, t) for d, t in rows for at, line in enumerate((t or "").split("\n"))
+             if len(line) >= 20 and line.strip(" \t\n\x0b\x0c\r")]
+    copies = Counter(line[3] for line in lines)
+    distinct = list(copies)
+    near = {x: set() for x in distinct}
+    for i, x in enumerate(distinct):
+        for y in distinct[:i]:
+            most = 1 if min(len(x), len(y)) < 40 else 2
+            if abs(len(x) - len(y)) <= 2 and (distance(x, y) <= most if len(x) < 1000 else x + "!" == y or y + "!" == x):
+                near[x].add(y)
+                near[y].add(x)
+    first, out = {}, {}
+    for d, p, at, line, _ in sorted(lines, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])):
+        if line not in first:
+            todo = [line]
+            while todo:
+                x = todo.pop()
+                if x not in first:
+                    first[x] = (d, at)
+                    todo += near[x]
+    for d, _, at, line, t in lines:
+        if copies[line] > 1 or near[line]:
+            out.setdefault((d, t), set()).add((at, *first[line], copies[line] - 1 + sum(copies[y] for y in near[line])))
+    return {k: sorted(v, key=lambda r: r[0]) for k, v in out.items()}
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame([(*r, "x", 3) for r in corpus()], "doc_id long, text string, line string, at int")
@@ -98,9 +139,10 @@ def docs(spark):
 def test_dedup_equals_brute_force(spark, docs, monkeypatch, block):
     monkeypatch.setattr(L, "BLOCK", block)
     got = L.dedup_lines(docs).collect()
-    want = plain(corpus())
-    assert len(got) == len(corpus())
+    want, classes = plain(corpus()), plain_classes(corpus())
+    assert len(got) == len(corpus()) and len(classes) > 100
     for r in got:
+        assert [tuple(c) for c in r.classes] == classes.get((r.doc.doc_id, r.doc.text), [])
         assert r.text == want[r.doc.doc_id, r.doc.text]
         assert r.n_lines - r.n_dropped == (0 if r.text is None else len(r.text.split("\n"))) or r.n_lines == r.n_dropped
     assert len(op4_columns(L.dedup_lines(docs)).collect()) == len(corpus())

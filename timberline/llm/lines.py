@@ -193,7 +193,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("doc_print"), text.alias("text"))
     rows = rows.select("id", "doc_print", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    rows = rows.filter((F.length("line") >= MIN_CHARS) & F.regexp_like("line", F.lit(r"[^\x20\x09-\x0D]")))
+    rows = rows.filter((F.length("line") >= MIN_CHARS) & (F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""))
     return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
@@ -226,7 +226,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = _degrees(held["places"], roots, nodes)
     placed = placed.join(linked, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    at = cut(held["places"].drop("line", "asked").join(placed, "node"), "placed")
+    # Written first, so that the places of a line with very many copies are a join of their own, which is split.
+    at = cut(held["places"].drop("line", "asked").join(cut(placed, "class-nodes"), "node"), "placed")
     heads = at.groupBy("root").agg(F.min(F.struct("id", "doc_print", "at")).alias("first"))
     return cut(at.join(heads, "root").select("id", "doc_print", "at", "first", "n_links"), "classes")
 
@@ -267,12 +268,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("i"), F.unhex(F.md5(text.cast("binary"))).alias("p"))
     joined = rows.join(own, (rows["p"] == own["own_print"]) & rows["i"].eqNullSafe(own["own_id"]), "left")
     before = F.col("doc").getField(text_col).cast("string")
-    parts = F.split(before, "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("drops")), lambda at: F.get(parts, at))
+    joined = joined.select("doc", before.alias("before"), F.split(before, "\n").alias("parts"), "drops", "classes")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("drops")), lambda at: F.get("parts", at))
     dropped = F.coalesce(F.size("drops"), F.lit(0))
     none = F.array().cast(own.schema["classes"].dataType)
-    return joined.select("doc", F.when(dropped == 0, before).otherwise(F.array_join(kept, "\n")).alias("text"),
-                         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"),
+    return joined.select("doc", F.when(dropped == 0, F.col("before")).otherwise(F.array_join(kept, "\n")).alias("text"),
+                         F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"),
                          F.coalesce("classes", none).alias("classes"))
 
 
