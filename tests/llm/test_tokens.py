@@ -58,6 +58,11 @@ def test_pieces_of_equal_hash_keep_their_own_ids(library, ranks, bits):
             assert pieces.count_texts(batch, cache, special).tolist() == n.tolist()
 
 
+def test_other_kinds_of_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        pieces.library_cache(P.path("word_bpe_49k.json"))
+
+
 def test_pieces_of_equal_hash_decode(ranks):
     one, two = thue_morse(11)
     _, _, ids = bpe.encode_batch([two, f"{one} {two}"], bpe.rank_cache(RANKS), 1 << 13)

@@ -17,6 +17,7 @@ compared letter by letter: hashes decide how fast a look-up is, never what it gi
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 
@@ -267,23 +268,41 @@ def encode_texts(texts: list[str], cache: PieceIds, special: str | None = None)
     return (np.concatenate(out) if out else np.zeros(0, np.int32)), count
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies, keyed by the letter of that code point."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
 @functools.cache
 def library_cache(path: str) -> PieceIds:
-    """Pieces as the tokenizers library encodes them with the file at ``path``."""
+    """Pieces as the tokenizers library encodes them with the byte-level BPE file at ``path``.
+
+    Pieces are cut already, so they go to the library's model itself, as letters that stand for bytes. A
+    file with more than byte-level BPE in it (a normalizer, another pre-tokenizer) is refused.
+    """
+    import json
+
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    parts = json.loads(tokenizer.to_str())
+    before = parts["pre_tokenizer"] or {}
+    if parts["model"]["type"] != "BPE" or parts["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space"):
+        raise ValueError(f"{path} is not plain byte-level BPE")
+    model, letters = tokenizer.model, _byte_letters()
+    whole = {t["content"]: [t["id"]] for t in parts["added_tokens"]}
+
+    def piece(text: str) -> list[int]:
+        if text in whole:
+            return whole[text]
+        return [t.id for t in model.tokenize(text.encode("utf-8").decode("latin-1").translate(letters))]
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat, n = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-        for low in range(0, len(pieces), 4096):
-            part = pieces[low : low + 4096]
-            got = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            flat.append(np.array(got.ids, np.int32))
-            n.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)).astype(np.int32))
-        return np.concatenate(flat), np.concatenate(n)
+        lists = list(map(piece, pieces))
+        n = np.fromiter(map(len, lists), np.int32, len(lists))
+        return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(n.sum())), n
 
     return PieceIds(encode)
 
