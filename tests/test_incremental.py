@@ -65,6 +65,35 @@ def test_rounds_equal_one_pass_in_order(spark, seed):
     assert matched(spark, existing, candidates, width=8) == one_by_one(existing, candidates)
 
 
+def test_windows_carry_what_earlier_ones_left(spark):
+    rng = random.Random(5)
+
+    def incidents(first, n, most):
+        return [(first + k, [(rng.randrange(most), rng.choice("abcdefgh"), rng.sample(["k1", "k2", "k3", "k4", "k5"], rng.randrange(3)))
+                             for _ in range(rng.randint(1, 3))]) for k in range(n)]
+
+    existing, candidates = incidents(101, 6, 20000), incidents(1, 30, 40000)
+    want = one_by_one(existing, candidates)
+    assert len({match for match, _ in want.values()}) > 3
+    assert matched(spark, existing, candidates, window=8) == matched(spark, existing, candidates) == want
+
+
+def test_chains_of_candidates_cost_no_rounds(spark, monkeypatch):
+    """Each candidate fits only what the one before left; a report as long as the table is still one row per key."""
+    written, cut = [], I.cut
+
+    def counted(df, label="stage"):
+        out = cut(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(I, "cut", counted)
+    existing = [(101, [(0, "a", ["k0"]), (2_600_000, "a", [f"k{k}" for k in range(9)])])]
+    chain = [(k, [(10_000_000 + 50 * k, f"t{k}", [f"c{k}", f"c{k + 1}"])]) for k in range(1, 15)]
+    assert matched(spark, existing, chain) == one_by_one(existing, chain)
+    assert len(written) <= 6 and max(written) < 60
+
+
 def test_without_reports_and_without_candidates(spark):
     candidates = [(1, [(0, "a", [])]), (2, [(100, "a", [])])]
     assert matched(spark, [], candidates) == {1: (None, 101), 2: (101, 101)}
