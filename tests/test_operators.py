@@ -148,3 +148,48 @@ def test_board_order_and_pages(spark):
     assert pages == [["4", "3"], ["2", "1"], []]
     with pytest.raises(ValueError):
         RP.incident_page(df, 0, 101)
+
+
+def brute_force_similar(texts, st=0.5):
+    """The earlier text each resembles most, by comparing all."""
+    want = {}
+    for text, first in texts:
+        a, best = text.split(" "), None
+        for other, o_first in texts:
+            b = other.split(" ")
+            if o_first < first and len(a) == len(b):
+                share = sum(x == y != "<*>" for x, y in zip(a, b, strict=True)) / len(a)
+                if share >= st:
+                    best = max(best or (0, 0, ""), (share, -o_first, other))
+        if best:
+            want[text] = (best[2], best[0])
+    return want
+
+
+def leaf_rows(spark, texts):
+    rows = [("d", t, f, 1, t.split(" "), len(t.split(" ")), "k", "k") for t, f in texts]
+    return spark.createDataFrame(rows, "dataset string, template string, first_id long, n long, tokens array<string>, n_tokens int, key1 string, key2 string")
+
+
+def test_similar_templates_equal_all_pairs(spark):
+    rng = random.Random(8)
+    texts = {" ".join(rng.choice(["a", "b", "c", "<*>"]) for _ in range(k)) for k in (1, 2, 5, 6) for _ in range(25)}
+    texts |= {" ".join(f"{w}{rng.randrange(2 if w < 'p' else 9)}" for w in "abcdefghijklmnopqrst") for _ in range(30)}
+    texts = [(t, n) for n, t in enumerate(sorted(texts, key=lambda _: rng.random()))]
+    got = {r.template: (r.nearest, r.similarity) for r in T.similar_templates(leaf_rows(spark, texts)).collect()}
+    assert got == brute_force_similar(texts)
+
+
+def test_resembling_templates_do_not_meet_pairwise(spark, monkeypatch):
+    written, cut = {}, T.cut
+
+    def counted(df, label="stage"):
+        out = cut(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(T, "cut", counted)
+    texts = [(f"user u{n} registered from <*>", n) for n in range(400)]
+    got = T.similar_templates(leaf_rows(spark, texts)).collect()
+    assert len(got) == 399 and {(r.nearest, r.similarity) for r in got} == {(texts[0][0], 0.6)}
+    assert written["near-templates"] == 399 and written["probes"] == 0
