@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timberline.plans import oracle_pipeline as OP
-from timberline.plans.fixture import YEAR
+from timberline.plans.fixture import YEAR, parts_of
 from timberline.plans.oracle_base import chain, half_up
 from timberline.plans.queries_ingest import _STORED, _flat
 from timberline.plans.registry import query
@@ -15,10 +15,16 @@ from timberline.streaming import jobs as J
 from timberline.streaming import runs as SR
 
 
+def grain(t) -> int:
+    """How many files land for one of a small table; a micro-batch takes as many more, so batches stay as they are."""
+    return -(-parts_of(t.table("events")) // 4)
+
+
 def landed(t, parts: int = 4, twice: bool = False) -> str:
     """Lines as files in a landing folder; ``twice`` delivers every line again."""
     path = t.new_path("landing")
     lines = t.lines.select("dataset", "dialect", "source_id", "source_line", "id", "line")
+    parts = parts * grain(t)
     lines.repartition(parts).write.parquet(path)
     if twice:
         lines.repartition(parts).write.mode("append").parquet(path)
@@ -26,7 +32,7 @@ def landed(t, parts: int = 4, twice: bool = False) -> str:
 
 
 def stream_events(t, parts: int = 4):
-    return J.parse_stream(J.read_lines(t.spark, landed(t, parts), files_per_trigger=2), YEAR)
+    return J.parse_stream(J.read_lines(t.spark, landed(t, parts), files_per_trigger=2 * grain(t)), YEAR)
 
 
 @query("stream_ingest", chain(_STORED, "stateless"))
@@ -102,7 +108,7 @@ def stream_dedupe(t):
     """The first slice is stored already and every line arrives twice: each ends up once."""
     out, mark = t.new_path("stream"), t.new_path("checkpoint")
     PQ.save_events(J.score_stateless(t.slice(False)), out)
-    lines = J.read_lines(t.spark, landed(t, twice=True), files_per_trigger=4)
+    lines = J.read_lines(t.spark, landed(t, twice=True), files_per_trigger=4 * grain(t))
     J.start_dedupe(lines, out, mark, YEAR).awaitTermination()
     return _flat(PQ.read_events(t.spark, out))
 
@@ -113,7 +119,7 @@ def landed_in_order(t, slices: int = 4, files: int = 2) -> str:
     lines = t.lines.select("dataset", "dialect", "source_id", "source_line", "id", "line")
     width = F.ceil(t.events.agg(F.max("id")).first()[0] / F.lit(slices))
     for k in range(slices):
-        lines.filter(F.ceil(F.col("id") / width) == k + 1).repartition(files).write.mode("append").parquet(path)
+        lines.filter(F.ceil(F.col("id") / width) == k + 1).repartition(files * grain(t)).write.mode("append").parquet(path)
     return path
 
 
@@ -122,7 +128,7 @@ SELECT dataset, template, substr(md5(founder), 1, 10) AS template_id, cluster_te
 def stream_templates(t):
     """Lines that land in order, four batches: the clusters are those of one pass over all of them."""
     out, mark = t.new_path("stream"), t.new_path("checkpoint")
-    lines = J.read_lines(t.spark, landed_in_order(t), files_per_trigger=2)
+    lines = J.read_lines(t.spark, landed_in_order(t), files_per_trigger=2 * grain(t))
     J.start_templates(J.parse_stream(lines, YEAR), out, mark).awaitTermination()
     return J.stream_templates(t.spark, out)
 
@@ -139,7 +145,7 @@ for _k, _name in enumerate(_QUARTERS, 1):
 def stream_scored(t):
     """Lines that land in order, four batches, each scored by its own statistics."""
     out, mark = t.new_path("stream"), t.new_path("checkpoint")
-    lines = J.read_lines(t.spark, landed_in_order(t), files_per_trigger=2)
+    lines = J.read_lines(t.spark, landed_in_order(t), files_per_trigger=2 * grain(t))
     J.start_scored(J.parse_stream(lines, YEAR), out, mark).awaitTermination()
     return PQ.read_events(t.spark, out).select("dataset", "id", F.col("anomaly_score").cast("double").alias("anomaly_score"), "is_anomaly")
 
@@ -154,7 +160,7 @@ FROM runs_stream GROUP BY 1, 2, 3""", "runs_stream"))
 def stream_runs(t):
     """Runs of lines that land in order, four batches; shared actors bridge gaps as in a batch job."""
     out, mark = t.new_path("stream"), t.new_path("checkpoint")
-    lines = J.read_lines(t.spark, landed_in_order(t), files_per_trigger=2)
+    lines = J.read_lines(t.spark, landed_in_order(t), files_per_trigger=2 * grain(t))
     SR.start_runs(J.parse_stream(lines, YEAR), out, mark).awaitTermination()
     return SR.stream_runs(t.spark, out).drop("is_open")
 
