@@ -60,3 +60,17 @@ def test_dense_search_in_blocks(spark):
             got.setdefault(r.query_id, {})[r.rank] = r.vec_id
         assert {q: [v for _, v in sorted(own.items())] for q, own in got.items()} == want
     assert R.dense_search(frame, asked.limit(0)).count() == 0
+
+
+def test_terms_are_counted_without_moving_them(spark):
+    rows = [("d", f"c{n % 7}", f"one two {n} two") for n in range(20)]
+    counted = R.chunk_terms(spark.createDataFrame(rows, "dataset string, chunk_id string, text string"))
+    want = {}
+    for dataset, chunk, text in rows:
+        words = text.split(" ")
+        for term in words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]:
+            want[chunk, term] = want.get((chunk, term), 0) + 1
+    assert {(r.chunk_id, r.term): r.tf for r in counted.collect()} == want
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) >= 1 and all("term" not in line for line in exchanges)
