@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,20 @@ def test_resembling_templates_do_not_meet_pairwise(spark, monkeypatch):
     got = T.similar_templates(leaf_rows(spark, texts)).collect()
     assert len(got) == 399 and {(r.nearest, r.similarity) for r in got} == {(texts[0][0], 0.6)}
     assert written["near-templates"] == 399 and written["probes"] == 0
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    written, cut = [], K.cut
+    monkeypatch.setattr(K, "cut", lambda df, label: written.append(label) or cut(df, label))
+    chain = spark.range(5000).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    got = K.connected_components(chain)
+    assert got.count() == 5001 and got.filter("root <> 0").isEmpty()
+    assert len(written) <= 4
+
+
+def test_chains_are_shortened_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(K, "HELD", 4)
+    rows = [(2, 1), (3, 2), (4, 3), (9, 8), (8, 7), (5, 4), (6, 5)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([a]), pa.array([b])], ["u", "v"]) for a, b in rows]
+    parts = [list(zip(*x.to_pydict().values(), strict=True)) for x in K._shorten(iter(batches))]
+    assert parts == [[(2, 1), (3, 1), (4, 1), (9, 8)], [(5, 4), (6, 4), (8, 7)]]
