@@ -211,3 +211,22 @@ def test_chains_are_shortened_in_bounded_parts(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array([a]), pa.array([b])], ["u", "v"]) for a, b in rows]
     parts = [list(zip(*x.to_pydict().values(), strict=True)) for x in K._shorten(iter(batches))]
     assert parts == [[(2, 1), (3, 1), (4, 1), (9, 8)], [(5, 4), (6, 4), (8, 7)]]
+
+
+def test_rows_out_of_reach_are_not_scored(spark):
+    rng, rows = random.Random(11), []
+    for n in range(600):
+        level, message = rng.choice(["DEBUG", "INFO", "WARN", "ERROR", "FATAL"]), rng.choice(["m", "read failed", "timeout"])
+        epoch = rng.choice([50, rng.randrange(20_000)])
+        rows.append((*event(n % 590, f"t{min(n, rng.randrange(40))}", epoch)[:8], 0.0, level, False, message))
+    events = spark.createDataFrame(rows, EVENT)
+    whole, some = SC.score_core(events), SC.score_core(events, least=C.LEAST_SCORE)
+    assert some.count() < whole.count()
+    assert sorted(map(str, C.incident_candidates(some).collect())) == sorted(map(str, C.incident_candidates(whole).collect()))
+
+
+def test_correlation_moves_whole_candidates_once(spark, monkeypatch):
+    written, cut = {}, C.cut
+    monkeypatch.setattr(C, "cut", lambda df, label: written.setdefault(label, df.columns) and cut(df, label))
+    C.correlate(spark.createDataFrame([event(1, "a", 0, "b1"), event(2, "a", 5, "b1")], EVENT))
+    assert [label for label, columns in written.items() if "message" in columns] == ["candidates", "members"]
