@@ -44,7 +44,8 @@ def log_text_search(t):
 
 @query("log_search", chain(f"SELECT dataset, id, message FROM scored WHERE level = 'ERROR' AND is_anomaly AND ({SEARCH})", "scored"))
 def log_search(t):
-    return RP.log_search(t.scored, severity="ERROR", anomalies=True, text="u12").select("dataset", "id", "message")
+    """Searched while it is scored: level and text are tested before a line moves to its template's rarity."""
+    return RP.log_search(SC.score_core(t.events), severity="ERROR", anomalies=True, text="u12").select("dataset", "id", "message")
 
 
 @query("log_page", chain("""
