@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -135,3 +136,17 @@ def test_sha_of_ids(spark, frame, ranks):
                     hashlib.sha256((b or "").encode()).hexdigest())
                    for a, b in CASES for i in [ranks.encode_ordinary(b or "")]])
     assert by_row([tuple(r)[:4] for r in got]) == want
+
+
+@pytest.mark.parametrize("slots", [2, 1 << 12])
+def test_known_pieces_are_not_sorted_again(monkeypatch, slots):
+    monkeypatch.setattr(pieces, "SLOTS", slots)
+    cache = pieces.PieceIds(lambda strings: (np.array([ord(s[-1]) for s in strings], np.int32), np.ones(len(strings), np.int32)))
+    texts = ["one two three", "two  two\nnine", "", "four one"]
+    asked, entries = [], cache._entries
+    monkeypatch.setattr(cache, "_entries", lambda p, h, which: asked.append(len(which)) or entries(p, h, which))
+    want = [ord(s[-1]) for text in texts if text for s in pieces.Pieces([text]).strings(slice(None))]
+    for _ in range(3):
+        ids, count = pieces.encode_texts(texts, cache)
+        assert ids.tolist() == want and count.sum() == len(want)
+    assert slots == 2 or sum(asked) == len(want)

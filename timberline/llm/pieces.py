@@ -23,6 +23,7 @@ import numpy as np
 
 MARGIN = 32
 SLICE = 1 << 19
+SLOTS = 1 << 20
 OTHER, LETTER, NUMBER, SPACE, WALL, SPECIAL = range(6)
 _ODD = 0x9E3779B97F4A7C15
 _M = (1 << 64) - 1
@@ -153,7 +154,10 @@ class PieceIds:
         self.clear()
 
     def clear(self) -> None:
-        self.key = np.zeros(0, np.uint64)
+        self.key = np.zeros(0, np.uint64)  # hashes in order, and which entry each is
+        self.entry = np.zeros(0, np.int64)
+        self.slot = np.zeros(SLOTS, np.int64)  # the entry last found for some bits of a hash
+        self.value = np.zeros(0, np.uint64)  # of entries as they came: hash, ids, letters
         self.at = np.zeros(0, np.int64)
         self.n = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
@@ -173,32 +177,44 @@ class PieceIds:
         if len(pieces.start) == 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
         codes, start, size = pieces.codes, pieces.start, pieces.end - pieces.start
-        value, first, back = np.unique(pieces.hashes(), return_index=True, return_inverse=True)
         if max(len(self.key), len(self.flat) // 16, len(self.letters) // 64) > self.most:
             self.clear()
+        hashes = pieces.hashes()
+        # Most pieces are found by a part of their hash; only the others are sorted and searched.
+        slot = (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        held = self.slot[slot]
+        other = np.flatnonzero(self.value[held] != hashes) if len(self.value) else np.arange(len(hashes))
+        if len(other):
+            held[other] = self._entries(pieces, hashes, other)
+            self.slot[slot[other]] = held[other]
+        # A piece whose hash meets one of other letters is encoded on its own.
+        where, n = self.at[held], self.n[held]
+        wrong = np.union1d(_unlike(pieces, self.letters, self.place[held]), np.flatnonzero(self.size[held] != size))
+        if len(wrong):
+            where[wrong], n[wrong] = self._encoded(pieces.strings(wrong))
+        return where, n
+
+    def _entries(self, pieces: Pieces, hashes: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Entries of some pieces by their whole hashes; those of new hashes are made."""
+        value, first, back = np.unique(hashes[which], return_index=True, return_inverse=True)
+        first = which[first]
         at = np.searchsorted(self.key, value)
         new = np.ones(len(value), bool)
         inside = at < len(self.key)
         new[inside] = self.key[at[inside]] != value[inside]
         if new.any():
+            start, width = pieces.start[first[new]], (pieces.end - pieces.start)[first[new]]
             begin, n = self._encoded(pieces.strings(first[new]))
-            place, width = at[new], size[first[new]]
             ends = np.cumsum(width)
-            letters = np.arange(int(ends[-1])) + np.repeat(start[first[new]] - (ends - width), width)
-            self.place = np.insert(self.place, place, len(self.letters) + ends - width)
-            self.letters = np.concatenate([self.letters, codes[letters]])
-            self.size = np.insert(self.size, place, width)
-            self.key = np.insert(self.key, place, value[new])
-            self.at = np.insert(self.at, place, begin)
-            self.n = np.insert(self.n, place, n)
+            letters = np.arange(int(ends[-1])) + np.repeat(start - (ends - width), width)
+            entries = len(self.value) + np.arange(len(start))
+            self.key, self.entry = np.insert(self.key, at[new], value[new]), np.insert(self.entry, at[new], entries)
+            self.value, self.size = np.concatenate([self.value, value[new]]), np.concatenate([self.size, width])
+            self.place = np.concatenate([self.place, len(self.letters) + ends - width])
+            self.letters = np.concatenate([self.letters, pieces.codes[letters]])
+            self.at, self.n = np.concatenate([self.at, begin]), np.concatenate([self.n, n])
             at = np.searchsorted(self.key, value)
-        # A piece whose hash meets one of other letters is encoded on its own.
-        held = at[back]
-        where, n = self.at[held], self.n[held]
-        wrong = np.union1d(_unlike(pieces, self.letters, self.place[held]), np.flatnonzero(self.size[held] != size))
-        if len(wrong):
-            where[wrong], n[wrong] = self._encoded(pieces.strings(wrong))
-        return where, n
+        return self.entry[at][back]
 
     def ids(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The ids of the found pieces, one after the other."""
