@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.operators import retrieval as R
+from timberline.session import cut
 
 ROWS = 10_500
 
@@ -74,3 +75,15 @@ def test_terms_are_counted_without_moving_them(spark):
     plan = counted._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(exchanges) >= 1 and all("term" not in line for line in exchanges)
+
+
+def test_windows_are_repeated_where_they_are_folded(ordered, monkeypatch):
+    ordered = cut(ordered)
+    plan = R.passages(ordered)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("_stretch#" in line for line in dealt) and all("start#" not in line for line in dealt)
+    small = ordered.filter("pos < 900")
+    want = sorted(R.passages(small).collect())
+    for stretch in (1, 7):
+        monkeypatch.setattr(R, "STRETCH", stretch)
+        assert sorted(R.passages(small).collect()) == want

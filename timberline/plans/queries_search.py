@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timberline.operators import retrieval as R
+from timberline.operators import scoring as SC
 from timberline.plans.oracle_base import chain, half_up
 from timberline.plans.queries_correlate import six, six_sql
 from timberline.plans.registry import query
@@ -16,8 +17,13 @@ _COLUMNS = ("dataset", "chunk_id", "start_id", "end_id", "n_rows", "has_anomaly"
 
 @query("passages", chain(f"SELECT {_PASSAGE} FROM passages UNION ALL SELECT {_PASSAGE} FROM passages_all", "passages", "passages_all"))
 def passages(t):
-    both = R.passages(R.ordered_events(t.scored)).unionByName(R.passages(R.ordered_events(t.all_scored)))
-    return both.select(*_COLUMNS)
+    """Only what a passage tells is scored and written; the wide events are not moved."""
+    told = [
+        cut(SC.score_core(events).select("dataset", "id", "level", "service", "message", "is_anomaly"), "told")
+        for events in (t.events, t.all_events)
+    ]
+    each, together = (R.passages(R.ordered_events(df)) for df in told)
+    return each.unionByName(together).select(*_COLUMNS)
 
 
 @query("passages_anomalous", chain(f"SELECT {_PASSAGE} FROM extra_all", "extra_all"))
