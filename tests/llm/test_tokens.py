@@ -150,3 +150,15 @@ def test_known_pieces_are_not_sorted_again(monkeypatch, slots):
         ids, count = pieces.encode_texts(texts, cache)
         assert ids.tolist() == want and count.sum() == len(want)
     assert slots == 2 or sum(asked) == len(want)
+
+
+def test_pieces_held_by_a_worker_stay_small(ranks):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(350_000)]
+    many = [" ".join(words[k : k + 5_000]) for k in range(0, len(words), 5_000)]
+    cache, most = bpe.rank_cache.__wrapped__(RANKS), 0
+    for low, high in bpe._runs(many):
+        _, _, ids = bpe.encode_batch(many[low:high], cache)
+        assert ids[0].tolist() == ranks.encode_ordinary(many[low])
+        most = max(most, sum(x.nbytes for x in vars(cache).values() if isinstance(x, np.ndarray)))
+    assert most < 28 << 20

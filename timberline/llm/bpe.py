@@ -30,6 +30,9 @@ from timberline.llm import pieces as X
 from timberline.llm.common import text_of
 
 LEAF_CHARS = 1 << 13
+#: A worker that is used again keeps its pieces in later stages too: how many, and how many characters it cuts at once.
+PIECES = 1 << 17
+RUN_CHARS = 1 << 17
 LONG_PIECE = 64
 
 
@@ -81,7 +84,7 @@ class TokenTree:
 
 @functools.cache
 def rank_cache(path: str) -> X.PieceIds:
-    return X.PieceIds(TokenTree(path).pieces)
+    return X.PieceIds(TokenTree(path).pieces, PIECES)
 
 
 # --- cuts of one text -------------------------------------------------------------------------------------------
@@ -189,7 +192,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return out.unionByName(decode(tree, path) if decoded else tree)
 
 
-def _runs(texts: list[str], most: int = X.SLICE):
+def _runs(texts: list[str], most: int = RUN_CHARS):
     low = total = 0
     for high, text in enumerate(texts):
         if total + len(text) > most and high > low:

@@ -121,7 +121,8 @@ class Pieces:
 
     def hashes(self) -> np.ndarray:
         """One 64-bit value per distinct piece."""
-        up, down = _powers(max(20, len(self.codes).bit_length()))
+        bits = len(self.codes).bit_length()
+        up, down = _powers(18 if bits <= 18 else max(20, bits))  # few sizes: each stays in the worker
         total = np.cumsum(_char_values()[self.codes] * up[: len(self.codes)], dtype=np.uint64)
         before = np.where(self.start > 0, total[self.start - 1], np.uint64(0))
         value = (total[self.end - 1] - before) * down[self.start]
