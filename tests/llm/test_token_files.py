@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -68,3 +69,29 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "none")
     T.write_ids(T.encode_in_order(docs, JSON), path)
     assert T.read_ids(spark, path).count() == 0
+
+
+def test_blocks_are_decoded_together(monkeypatch):
+    rnd = np.random.default_rng(6)
+    symbols = np.arange(300) * 5
+    codes = T.Codes(symbols, T.code_lengths(rnd.integers(1, 99, 300)))
+    rows, want = [], []
+    for block in range(40):
+        sizes = [40_000] if block == 13 else rnd.integers(1, 400, rnd.integers(1, 5)).tolist()
+        docs = [symbols[rnd.integers(0, 300, n)] for n in sizes]
+        stream, marks = codes.pack(np.concatenate(docs))
+        names = [None if block == 7 else 10 * block + k for k in range(len(docs))]
+        rows.append({"part": block // 9, "first": 1000 * block, "doc_ids": names, "counts": sizes, "n": sum(sizes),
+                     "marks": marks.tolist(), "stream": stream})
+        want += [(block // 9, 1000 * block + sum(sizes[:k]), names[k], sizes[k], docs[k].tolist()) for k in range(len(docs))]
+    kinds = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
+                       ("n", pa.int64()), ("marks", pa.list_(pa.int64())), ("stream", pa.binary())])
+    batches = [pa.RecordBatch.from_pylist(rows[a:b], kinds) for a, b in ((0, 30), (30, 30), (30, 40))]
+    calls, unpack = [], codes.unpack
+    monkeypatch.setattr(codes, "unpack", lambda *a: calls.append(sum(a[2])) or unpack(*a))
+    for most, fewest in ((1 << 20, 2), (5000, 5)):
+        calls.clear()
+        monkeypatch.setattr(T, "UNPACK_TOKENS", most)
+        got = [tuple(r.values()) for batch in T.unpack_blocks(batches, codes) for r in batch.to_pylist()]
+        assert [(*r[:4], np.frombuffer(r[4], "<u4").tolist()) for r in got] == want
+        assert fewest <= len(calls) < len(rows) / 2 and max(calls) < 40_000 + most

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import numpy as np
 import public_tokenizers as P
@@ -162,3 +163,17 @@ def test_pieces_held_by_a_worker_stay_small(ranks):
         assert ids[0].tolist() == ranks.encode_ordinary(many[low])
         most = max(most, sum(x.nbytes for x in vars(cache).values() if isinstance(x, np.ndarray)))
     assert most < 28 << 20
+
+
+def test_new_pieces_are_spelled_together(library):
+    encode = pieces.library_cache(JSON).encode
+    some = ["<|endoftext|>", "\0", " \0\x7f", "\xa0", " é中", "😀", "ÿþ", " the", "x" * 70, *(f" w{k}q" for k in range(2000))]
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event.endswith("call") else None)
+    try:
+        ids, n = encode(some)
+    finally:
+        sys.setprofile(None)
+    want = [library.encode(s, add_special_tokens=False).ids for s in some]
+    assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+    assert len(calls) < 4 * len(some)

@@ -308,18 +308,20 @@ def library_cache(path: str) -> PieceIds:
     before = parts["pre_tokenizer"] or {}
     if parts["model"]["type"] != "BPE" or parts["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space"):
         raise ValueError(f"{path} is not plain byte-level BPE")
-    model, letters = tokenizer.model, _byte_letters()
+    tokenize, letters = tokenizer.model.tokenize, _byte_letters()
+    letter_of = np.array([ord(letters[b]) for b in range(256)], np.uint32)
     whole = {t["content"]: [t["id"]] for t in parts["added_tokens"]}
 
-    def piece(text: str) -> list[int]:
-        if text in whole:
-            return whole[text]
-        return [t.id for t in model.tokenize(text.encode("utf-8").decode("latin-1").translate(letters))]
-
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = list(map(piece, pieces))
-        n = np.fromiter(map(len, lists), np.int32, len(lists))
-        return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(n.sum())), n
+        # All pieces get their letters at once; the byte between them stands in no UTF-8.
+        data = np.frombuffer(b"\xff".join(map(str.encode, pieces)), np.uint8)
+        spelled = letter_of[data].tobytes().decode("utf-32-le").split(letters[0xFF])
+        flat, n = [], []
+        for text, spelling in zip(pieces, spelled, strict=True):
+            ids = whole[text] if text in whole else [t.id for t in tokenize(spelling)]
+            flat += ids
+            n.append(len(ids))
+        return np.array(flat, np.int32), np.array(n, np.int32)
 
     return PieceIds(encode)
 

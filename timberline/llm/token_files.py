@@ -24,6 +24,9 @@ from timberline.session import new_path
 MAX_BITS = 16
 BLOCK_TOKENS = 1 << 16
 STEP = 256
+LENGTH_BITS = MAX_BITS.bit_length()
+#: Blocks are decoded together up to about this many tokens; a longer block goes with few others.
+UNPACK_TOKENS = 16 * BLOCK_TOKENS
 
 
 # --- codes ------------------------------------------------------------------------------------------------------
@@ -65,8 +68,8 @@ class Codes:
         span = np.left_shift(1, self.bits - self.lengths)  # table entries that begin with a code
         first = np.cumsum(span) - span
         self.code = first >> (self.bits - self.lengths)
-        self.symbol_at = np.repeat(self.symbols, span).astype(np.uint32)
-        self.length_at = np.repeat(self.lengths, span).astype(np.int64)
+        # What a code's first bits decode to: its place among the symbols, and its length.
+        self.entry_at = np.repeat((np.arange(len(span)) << LENGTH_BITS | self.lengths).astype(np.int32), span)
         size = int(self.symbols.max(initial=-1)) + 1
         self.code_of, self.length_of = np.zeros(size, np.uint64), np.zeros(size, np.int64)
         self.code_of[self.symbols], self.length_of[self.symbols] = self.code, self.lengths
@@ -88,19 +91,18 @@ class Codes:
     def unpack(self, streams: list[bytes], marks: list[np.ndarray], counts: list[int]) -> list[np.ndarray]:
         """Ids of several streams; all stretches between checkpoints move on together."""
         data = np.frombuffer(b"".join(streams) + b"\0" * 8, ">u4").astype(np.uint64)
+        two = (data[:-1] << np.uint64(32)) | data[1:]
         base = np.cumsum([0, *map(len, streams)])[:-1] * 8
         at = np.concatenate([m + b for m, b in zip(marks, base, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
         left = np.concatenate([np.minimum(STEP, n - np.arange(0, n, STEP)) for n in counts] or [np.zeros(0, np.int64)])
-        out = np.zeros((len(at), STEP), np.uint32)
-        mask = np.uint64((1 << self.bits) - 1)
-        for k in range(STEP):
-            live = left > k
-            word = at >> 5
-            two = (data[word] << np.uint64(32)) | data[word + 1]
-            peek = (two >> (64 - self.bits - (at & 31)).astype(np.uint64)) & mask
-            out[:, k] = self.symbol_at[peek]
-            at = np.where(live, at + self.length_at[peek], at)
-        flat = out[np.arange(STEP) < left[:, None]]
+        out = np.empty((STEP, len(at)), np.int32)
+        mask, top = np.uint64((1 << self.bits) - 1), 64 - self.bits
+        for k in range(int(left.max(initial=0))):  # a stretch that has ended reads on, wherever that is; its rest is cut off
+            peek = two.take(at >> 5, mode="clip") >> (top - (at & 31)).view(np.uint64)
+            found = self.entry_at.take((peek & mask).view(np.int64), mode="clip")
+            out[k] = found >> LENGTH_BITS
+            at += found & ((1 << LENGTH_BITS) - 1)
+        flat = self.symbols.astype(np.uint32).take(out.T[np.arange(STEP) < left[:, None]])
         return np.split(flat, np.cumsum(counts)[:-1]) if counts else []
 
 
@@ -195,6 +197,24 @@ def _block_schema(kind: str) -> str:
     return (f"part int, first long, doc_ids array<{kind}>, counts array<long>, n long, marks array<long>, stream binary")
 
 
+def unpack_blocks(batches, table: Codes):
+    """The documents of batches of blocks, blocks of up to about ``UNPACK_TOKENS`` tokens decoded together."""
+    for batch in batches:
+        last = np.cumsum(batch.column("n").to_numpy()) - 1
+        heads = np.flatnonzero(np.diff(last // UNPACK_TOKENS, prepend=-1)).tolist()
+        for low, high in zip(heads, [*heads[1:], batch.num_rows], strict=False):  # a batch without rows has no heads
+            part, first, doc_ids, counts, n, marks, streams = batch.slice(low, high - low).columns
+            docs, n = counts.value_lengths().to_numpy(), n.to_numpy()
+            counts = counts.flatten().to_numpy()
+            ids = np.concatenate(table.unpack(streams.to_pylist(), [m.values.to_numpy() for m in marks], n.tolist()))
+            end = np.cumsum(counts)
+            before = np.repeat(first.to_numpy() - (np.cumsum(n) - n), docs)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(part.to_numpy(), docs)), pa.array(before + end - counts), doc_ids.flatten(), pa.array(counts),
+                 pa.array([x.tobytes() for x in np.split(ids.astype("<u4"), end[:-1])], pa.binary())],
+                ["part", "first", "doc_id", "n", "ids"])
+
+
 def read_ids(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """``(doc_id, start, n, ids)`` per document of the store; ``start`` counts the ids of all documents before it,
     ``ids`` are little-endian 32-bit numbers."""
@@ -203,19 +223,7 @@ def read_ids(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFra
     blocks = spark.read.schema(_block_schema(id_type)).parquet(f"{path}/blocks")
 
     def unpack(batches):
-        table = Codes(symbols, lengths)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                part, first, doc_ids, counts, n, marks, stream = (c[0] for c in row.columns)
-                counts = np.array(counts.as_py(), np.int64)
-                ids = table.unpack([stream.as_py()], [np.array(marks.as_py(), np.int64)], [n.as_py()])[0]
-                size = len(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.as_py()] * size, pa.int32()), pa.array(first.as_py() + np.cumsum(counts) - counts),
-                     doc_ids.values, pa.array(counts),
-                     pa.array([x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])], pa.binary())],
-                    ["part", "first", "doc_id", "n", "ids"])
+        return unpack_blocks(batches, Codes(symbols, lengths))
 
     rows = blocks.mapInArrow(unpack, f"part int, first long, doc_id {id_type}, n long, ids binary")
     bases = spark.read.schema("part int, before long").parquet(f"{path}/bases")
