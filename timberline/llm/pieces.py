@@ -165,12 +165,23 @@ class PieceIds:
         self.letters = np.zeros(0, np.uint32)  # of all pieces held, one after the other
         self.place = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
+        self.room = {}  # the arrays' memory, with a place for what comes next
+
+    def _extend(self, name: str, values: np.ndarray) -> None:
+        """Append to an array; its room grows by a quarter, so that few calls copy what is held."""
+        held = getattr(self, name)
+        room, size = self.room.get(name, held), len(held) + len(values)
+        if size > len(room):
+            room = self.room[name] = np.empty(size + size // 4, held.dtype)
+            room[: len(held)] = held
+        room[len(held) : size] = values
+        setattr(self, name, room[:size])
 
     def _encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Append the ids of ``strings`` to ``flat``: where each begins, and how many there are."""
         flat, n = self.encode(strings)
         begin = len(self.flat) + np.cumsum(n) - n
-        self.flat = np.concatenate([self.flat, flat])
+        self._extend("flat", flat)
         return begin, n
 
     def find(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -183,14 +194,14 @@ class PieceIds:
         hashes = pieces.hashes()
         # Most pieces are found by a part of their hash; only the others are sorted and searched.
         slot = (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-        held = self.slot[slot]
-        other = np.flatnonzero(self.value[held] != hashes) if len(self.value) else np.arange(len(hashes))
+        held = self.slot.take(slot)
+        other = np.flatnonzero(self.value.take(held) != hashes) if len(self.value) else np.arange(len(hashes))
         if len(other):
             held[other] = self._entries(pieces, hashes, other)
             self.slot[slot[other]] = held[other]
         # A piece whose hash meets one of other letters is encoded on its own.
-        where, n = self.at[held], self.n[held]
-        wrong = np.union1d(_unlike(pieces, self.letters, self.place[held]), np.flatnonzero(self.size[held] != size))
+        where, n = self.at.take(held), self.n.take(held)
+        wrong = np.union1d(_unlike(pieces, self.letters, self.place.take(held)), np.flatnonzero(self.size.take(held) != size))
         if len(wrong):
             where[wrong], n[wrong] = self._encoded(pieces.strings(wrong))
         return where, n
@@ -210,10 +221,9 @@ class PieceIds:
             letters = np.arange(int(ends[-1])) + np.repeat(start - (ends - width), width)
             entries = len(self.value) + np.arange(len(start))
             self.key, self.entry = np.insert(self.key, at[new], value[new]), np.insert(self.entry, at[new], entries)
-            self.value, self.size = np.concatenate([self.value, value[new]]), np.concatenate([self.size, width])
-            self.place = np.concatenate([self.place, len(self.letters) + ends - width])
-            self.letters = np.concatenate([self.letters, pieces.codes[letters]])
-            self.at, self.n = np.concatenate([self.at, begin]), np.concatenate([self.n, n])
+            self._extend("place", len(self.letters) + ends - width)
+            for name, values in (("value", value[new]), ("size", width), ("letters", pieces.codes[letters]), ("at", begin), ("n", n)):
+                self._extend(name, values)
             at = np.searchsorted(self.key, value)
         return self.entry[at][back]
 
@@ -221,7 +231,7 @@ class PieceIds:
         """The ids of the found pieces, one after the other."""
         total = int(n.sum())
         step = np.repeat(at - (np.cumsum(n) - n), n)
-        return self.flat[step + np.arange(total)]
+        return self.flat.take(step + np.arange(total))
 
 
 def steps(text: str, special: str | None = None, size: int = SLICE):

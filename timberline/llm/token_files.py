@@ -71,21 +71,23 @@ class Codes:
         # What a code's first bits decode to: its place among the symbols, and its length.
         self.entry_at = np.repeat((np.arange(len(span)) << LENGTH_BITS | self.lengths).astype(np.int32), span)
         size = int(self.symbols.max(initial=-1)) + 1
-        self.code_of, self.length_of = np.zeros(size, np.uint64), np.zeros(size, np.int64)
-        self.code_of[self.symbols], self.length_of[self.symbols] = self.code, self.lengths
+        self.code_of = np.zeros(size, np.int64)  # codes, each followed by its length
+        self.code_of[self.symbols] = self.code << LENGTH_BITS | self.lengths
 
     def pack(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bit stream of ``ids`` and the bit offset of every ``STEP``-th."""
-        length = self.length_of[ids]
+        code = self.code_of.take(ids)
+        length = code & ((1 << LENGTH_BITS) - 1)
         end = np.cumsum(length)
         at = end - length
-        word, shift = at >> 5, (64 - length - (at & 31)).astype(np.uint64)
-        value = self.code_of[ids] << shift
+        word = at >> 5
+        value = ((code >> LENGTH_BITS) << (64 - length - (at & 31))).view(np.uint64)
         words = np.zeros((int(end[-1]) + 31) // 32 + 1 if len(ids) else 0, np.uint64)
         if len(ids):
             heads = np.flatnonzero(np.diff(word, prepend=-1))
-            words[word[heads]] += np.add.reduceat(value >> np.uint64(32), heads)
-            words[word[heads] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), heads)
+            both = np.add.reduceat(value, heads)  # codes that begin in one word share no bit
+            words[word[heads]] += both >> np.uint64(32)
+            words[word[heads] + 1] += both & np.uint64(0xFFFFFFFF)
         return words.astype(">u4").tobytes(), at[::STEP]
 
     def unpack(self, streams: list[bytes], marks: list[np.ndarray], counts: list[int]) -> list[np.ndarray]:
