@@ -92,6 +92,43 @@ def test_threshold_prefers_keeping():
     assert Q.threshold([], [1.0]) == float("-inf")
 
 
+def test_every_label_counts(spark):
+    """More labels of a class than any bound there was."""
+    labels = spark.range(46_000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality")
+    roles = Q.labelled_sample(labels)
+    assert {r.role == "rejected": r["count"] for r in roles.groupBy("role").count().collect() if r.role != "fit"}[True] == 23_000
+    assert roles.count() == roles.select("label_id").distinct().count() == 46_000
+    docs = spark.range(46_000).selectExpr("id AS doc_id", "concat('word', id) AS text")
+    model = Q.fit(docs, labels, buckets=1 << 20)
+    fitted = {r.label_id for r in roles.filter("role = 'fit'").collect()}
+    hashes = WordHashes()
+    place = np.array([Q.features([b"word%d" % k], hashes, 1 << 20)[0] for k in range(46_000)], int)
+    raw = np.bincount(place, minlength=1 << 20)
+    target = np.bincount(place[sorted(fitted)], minlength=1 << 20)
+    want = np.log((target + 1) / (len(fitted) + (1 << 20))) - np.log((raw + 1) / (46_000 + (1 << 20)))
+    assert len(fitted) > 15_500 and np.allclose(model.ratio, want)
+
+
+def test_labels_meet_their_texts(spark):
+    docs = spark.createDataFrame([(k % 900 if k % 7 else None, f"t{k}") for k in range(1000)], "id long, text string")
+    chosen = spark.createDataFrame([(k, f"r{k % 3}") for k in range(0, 2000, 3)], "label_id long, role string")
+    want = sorted((f"t{k}", f"r{k % 900 % 3}") for k in range(1000) if k % 7 and k % 900 % 3 == 0)
+    for kind in ("long", "string"):  # ids of another kind than the labels' meet them too
+        rows = docs.withColumn("id", docs["id"].cast(kind))
+        for bits in (64, 40_000, Q.MAP_BITS):
+            assert sorted(tuple(r) for r in Q.with_role(rows, chosen, bits).collect()) == want
+
+
+def test_threshold_of_a_table(spark):
+    rnd = random.Random(4)
+    for held, rejected in (([2.0, 3.0], [0.0, 1.0, 5.0]), ([1.0], [1.0]), ([], [1.0]), ([1.0], []),
+                           ([rnd.gauss(1, 1) for _ in range(900)], [rnd.gauss(-1, 1) for _ in range(700)]),
+                           ([k / 8 for k in range(40)], [k / 8 for k in range(-30, 20)])):
+        points = [("held", s) for s in held] + [("rejected", s) for s in rejected]
+        table = spark.createDataFrame(points + points[:3], "role string, score double").repartition(3)
+        assert Q.threshold_of(table) == Q.threshold(held, rejected)
+
+
 def test_hashes_held_by_a_worker_stay_small():
     tracemalloc.start()
     hashes = WordHashes()
