@@ -24,3 +24,14 @@ def test_log_search_writes_no_scores(spark, tmp_path):
     assert "scored" not in vars(t)
     want = RP.log_search(t.scored, severity="ERROR", anomalies=True, text="u12").select("dataset", "id", "message")
     assert got and got == sorted(want.collect())
+
+
+def test_answers_move_only_what_they_tell(spark, tmp_path):
+    folder = events(spark, tmp_path)
+    answers = all_queries()["grounded_answer"](spark, folder).collect()
+    t = tables(spark, folder)
+    assert not {"scored", "events"} & set(vars(t))
+    assert set(t.ordered.columns) == {"dataset", "id", "timestamp", "level", "service", "message", "is_anomaly", "pos", "total"}
+    told = ("dataset", "id", "timestamp", "level", "service", "message", "is_anomaly")
+    assert sorted(t.ordered.select(*told).collect()) == sorted(t.scored.select(*told).collect())
+    assert len(answers) == 4 * t.scored.select("dataset").distinct().count() == 4 * t.datasets.count()

@@ -72,7 +72,7 @@ LEFT JOIN (SELECT * FROM cited JOIN (SELECT dataset, question_id, count(*) AS n
 ON c.dataset = d.dataset AND c.question_id = qn.question_id""", "scored", "questions", "cited"))
 def grounded_answer(t):
     evidence = cut(R.evidence_rows(t.found, t.ordered, t.passages), "evidence")
-    return R.grounded_answers(t.questions, t.scored, evidence)
+    return R.grounded_answers(t.questions, t.datasets, evidence)
 
 
 @query("term_weights", chain(f"SELECT dataset, chunk_id, term, {six_sql('w')} FROM weights", "weights"))
