@@ -1,5 +1,8 @@
 """Retrieval over more rows and questions than any former limit."""
 
+import math
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +90,71 @@ def test_windows_are_repeated_where_they_are_folded(ordered, monkeypatch):
     for stretch in (1, 7):
         monkeypatch.setattr(R, "STRETCH", stretch)
         assert sorted(R.passages(small).collect()) == want
+
+
+def plain_index(rows, most=None):
+    """Weights by (dataset, chunk, term) as a list of rows would give them; rows of one chunk id count as one chunk."""
+    tf, chunks = defaultdict(Counter), Counter(r[0] for r in rows)
+    for dataset, chunk, _, text in rows:
+        words = (text or "").lower().replace("|", " ").split()
+        tf[dataset, chunk].update(words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)])
+    total, df = Counter(), Counter()
+    for (dataset, _), own in tf.items():
+        for term, n in own.items():
+            total[dataset, term] += n
+            df[dataset, term] += 1
+    held = set(df)
+    if most is not None:
+        held = {k for d in chunks for k in sorted((k for k in df if k[0] == d), key=lambda k: (-total[k], k[1]))[:most]}
+    return {(d, c, t): n * (math.log((1 + chunks[d]) / (1 + df[d, t])) + 1.0)
+            for (d, c), own in tf.items() for t, n in own.items() if (d, t) in held}
+
+
+def test_index_writes_no_table_of_terms_by_chunk(spark, monkeypatch):
+    rows = [(f"d{n % 2}", f"chunk_{n // 3}_{n // 3 + 4}", n // 3, f"Alpha <W{n % 5}> | b{n % 11} é{n % 3} alpha") for n in range(200)]
+    rows = [(d, c, s, t.replace("<", "").replace(">", "")) for d, c, s, t in rows]  # ids come twice
+    rows += [("d0", None, 5, "alpha null"), ("d0", None, 900, "alpha"), ("d1", "chunk_7_8", 7, None), ("d1", "chunk_9_9", 9, ""), ("d1", "chunk_700_700", 700, "x")]
+    chunks = cut(spark.createDataFrame(rows, "dataset string, chunk_id string, start_id long, text string"))
+    written = []
+    monkeypatch.setattr(R, "cut", lambda df, label="stage": written.append(label) or cut(df, label))
+    for span, most in ((7, None), (1 << 13, None), (7, 6)):
+        monkeypatch.setattr(R, "SPAN", span)
+        written.clear()
+        index = R.TermIndex(chunks, most)
+        weights = index.weights.collect()
+        got = {(r.dataset, r.chunk_id, r.term): r.w for r in weights}
+        assert sorted(written) == ["n-chunks", "vocabulary"] and len(weights) == len(got)
+        want = plain_index(rows, most)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+        assert most is None or index.vocabulary.count() == 2 * most
+
+
+def test_search_equals_plain_cosines(spark, monkeypatch):
+    rows = [("d", f"chunk_{n}_{n}", n, f"w{n % 9} same v{n % 4} w{n % 9}") for n in range(0, 120, 2)]
+    rows += rows[4:6]
+    chunks = spark.createDataFrame(rows, "dataset string, chunk_id string, start_id long, text string")
+    weights = plain_index(rows)
+    own = defaultdict(dict)
+    for (_, chunk, term), w in weights.items():
+        own[chunk][term] = w
+    n = len(rows)
+    asked = {1: "w3 same", 2: "v2", 3: "nothing here"}
+    idf = {t: math.log((1 + n) / (1 + sum(t in o for o in own.values()))) + 1.0 for o in own.values() for t in o}
+    want = {}
+    for q, text in asked.items():
+        words = text.split()
+        vector = {t: idf[t] for t in words + [" ".join(words)] if t in idf}
+        norm = math.sqrt(sum(v * v for v in vector.values()))
+        scores = []
+        for _, chunk, start, _ in rows:
+            dot = sum(v * own[chunk].get(t, 0.0) for t, v in vector.items())
+            if dot:
+                scores.append((-round(dot / norm / math.sqrt(sum(w * w for w in own[chunk].values())), 9), start))
+        want[q] = [start for _, start in sorted(scores)[:3]]
+    for span in (16, 1 << 13):
+        monkeypatch.setattr(R, "SPAN", span)
+        found = R.TermIndex(chunks).search(spark.createDataFrame([*asked.items()], "question_id long, text string"))
+        got = {q: [] for q in asked}
+        for r in sorted(found.collect(), key=lambda r: r["rank"]):
+            got[r.question_id].append(r.start_id)
+        assert got == want and want[1] and want[2]
